@@ -46,8 +46,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ])
 
 
+MONEY = {
+    "equity", "peak", "equity_before_entry", "equity_after_exit", "pnl", "total_estimated_costs",
+}
+
+
+# products of cents and a cost rate: few decimals, so a coarser cut would meet exact ties
+EXACT = {"entry_fill_price", "exit_fill_price"}
+
+
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Comparable output: micros for instants, bigint for integers, rounded doubles."""
+    """Comparable output: micros for instants, bigint for integers, rounded doubles, cents."""
     def one(name: str, kind: str) -> Column:
         c = F.col(name)
         if kind == "timestamp":
@@ -55,7 +64,8 @@ def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
         if kind in ("tinyint", "smallint", "int", "boolean"):
             return c.cast("int").cast("bigint").alias(name)
         if kind == "double":
-            return F.round(c, digits).alias(name)
+            places = 2 if name in MONEY else 8 if name in EXACT else digits
+            return F.round(c, places).alias(name)
         return c
 
     return df.select(*[one(n, k) for n, k in df.dtypes])
@@ -66,17 +76,23 @@ def r(expr: str, digits: int = 6) -> str:
     return f"(round({expr}, {digits}) + 0.0)"
 
 
-def hourly(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
-    """Hourly candles of every event type and of all events together."""
-    ev = table(spark, sf_dir, "events")
+def hourly(spark: SparkSession, sf_dir: str, timeframe: str = "1h",
+           level: float = 0.0) -> DataFrame:
+    """Hourly candles of every event type and of all events together.
+
+    Event values jump by whole multiples; ``level`` lifts them to a price scale on which trading
+    results stay in a sensible range.
+    """
+    ev = table(spark, sf_dir, "events").withColumn("value", F.col("value") + level)
     return candles_from_ticks(ev, ts="ts", price="value", timeframe=timeframe,
                               symbol="event_type", order="event_id")
 
 
-def numbered(spark: SparkSession, sf_dir: str, timeframe: str = "1h") -> DataFrame:
+def numbered(spark: SparkSession, sf_dir: str, timeframe: str = "1h",
+             level: float = 0.0) -> DataFrame:
     """Hourly candles with positions and series length."""
-    return number_rows(hourly(spark, sf_dir, timeframe), ["symbol"], block_seconds=7 * 86_400,
-                       count="n")
+    return number_rows(hourly(spark, sf_dir, timeframe, level), ["symbol"],
+                       block_seconds=7 * 86_400, count="n")
 
 
 def pseudo_score(seed: int = 7) -> Column:
@@ -92,12 +108,13 @@ def sql_score(seed: int = 7, symbol: str = "symbol", t: str = "t") -> str:
     )
 
 
-def sql_candles(step: int = HOUR) -> str:
+def sql_candles(step: int = HOUR, price: str = "value") -> str:
     """CTEs ``bars`` and ``candles`` (with ``pos`` and ``n``)."""
     return f"""
 bars AS (
   SELECT symbol, epoch_us(ts) // {step} * {step} AS t,
-         arg_min(value, ts) AS o, max(value) AS h, min(value) AS l, arg_max(value, ts) AS c,
+         arg_min({price}, ts) AS o, max({price}) AS h, min({price}) AS l,
+         arg_max({price}, ts) AS c,
          count(*)::DOUBLE AS v
   FROM (SELECT ts, value, unnest(['ALL', event_type]) AS symbol FROM events)
   GROUP BY 1, 2),

@@ -18,7 +18,7 @@ from chronoweft.operators.positions import number_rows
 from chronoweft.plans.common import (
     CHUNK, HOUR, hourly, numbered, pseudo_score, query, r, sql_candles, sql_score, table, tidy,
 )
-from chronoweft.session import scratch_path
+from chronoweft.session import materialise, scratch_path
 from chronoweft.settings import IndicatorSpec
 from chronoweft.sources.candle_files import (
     load_feature_table, load_labeled_table, prepare_tables, read_candle_csv, write_candle_csv,
@@ -479,14 +479,19 @@ def feature_tables_manifest(spark, sf):
     return tidy(manifest.drop("schema_sha256", "minimum_return"))
 
 
-@query("bundle_reconciliation", """
-SELECT 'ALL'::VARCHAR AS symbol, 'x'::VARCHAR AS "check", 0::BIGINT AS rows WHERE false""")
+@query("bundle_reconciliation", f"""
+WITH {sql_candles()}
+SELECT symbol, 'labels_value_differs' AS "check", (n - 33 - 5)::BIGINT AS rows
+FROM candles WHERE symbol = 'ALL' AND pos = 0""")
 def bundle_reconciliation(spark, sf):
-    """Raw, feature and labeled tables compared with each other; empty when they agree."""
+    """Raw, feature and labeled tables compared; the labels of one series were flipped before."""
     raw = number_rows(hourly(spark, sf), ["symbol"])
-    features = technical_features(raw, ["symbol"], positioned=True, chunk_rows=CHUNK)
+    features = materialise(
+        technical_features(raw, ["symbol"], positioned=True, chunk_rows=CHUNK), "features")
     again = number_rows(features.drop("pos"), ["symbol"])
-    lab = next_open_labels(again, ["symbol"], chunk_rows=CHUNK)
+    lab = next_open_labels(again, ["symbol"], chunk_rows=CHUNK).withColumn(
+        "label", F.when(F.col("symbol") == "ALL", 1 - F.col("label")).otherwise(F.col("label"))
+        .cast("tinyint"))
     return tidy(ql.bundle_violations(
         raw, features, lab, ["symbol"], horizon=4, minimum_return=TAU,
         minimum_rows=IndicatorSpec().minimum_rows))

@@ -76,3 +76,51 @@ class IndicatorSpec:
             "atr", "atr_pct", "candle_range_pct", "body_return", "volume_change",
             "volume_ma_ratio", *(f"return_{n}" for n in self.returns),
         ]
+
+
+# --- fixed values: news snapshots -------------------------------------------
+NEWS_PROVIDER = "gdelt_gsg"
+NEWS_ASSET = "BTC"
+OBSERVATION_PREFIX = "gdelt-gsg"
+INTERVAL_SECONDS = 60
+PROVIDER_LAG_SECONDS = 1800
+MAX_PLAN_INTERVALS = 10_080
+MAX_COMPRESSED_BYTES = 64 * 1024 * 1024
+MAX_DECOMPRESSED_BYTES = 256 * 1024 * 1024
+MAX_JSON_LINES = 1_000_000
+DUPLICATE_HORIZON_HOURS = 72
+RETRY_BACKOFF_SECONDS = (2.0, 4.0)
+MAX_ATTEMPTS = 3
+MAX_RETRY_AFTER_SECONDS = 86_400.0
+RELEVANCE_FLOOR = 0.20
+SENTIMENT_NEUTRAL = 0.20
+# order of precedence: the first reason that applies is the primary one
+EXCLUSION_REASONS = (
+    "hash_mismatch", "malformed_record", "invalid_timestamp",
+    "historical_backfill_without_availability", "undocumented_first_seen_semantics",
+    "missing_first_seen", "revision_time_unknown", "missing_identity",
+    "invalid_url_or_identifier", "missing_title_and_content", "unsupported_language",
+    "asset_mismatch", "license_restricted", "provider_gap", "duplicate_unresolved",
+)
+BLOCKING_REASONS = (
+    "hash_mismatch", "malformed_record", "invalid_timestamp", "missing_first_seen",
+    "missing_identity", "invalid_url_or_identifier", "missing_title_and_content",
+    "unsupported_language",
+)
+SNAPSHOT_ERRORS = (
+    "invalid_gzip", "invalid_json", "invalid_jsonl", "invalid_utf8", "malformed_snapshot",
+    "resource_limit_exceeded",
+)
+SCORE_STATES = (
+    "pending", "succeeded", "input_too_long", "transient_exhausted", "invalid_output",
+    "permanent_error", "hash_mismatch", "budget_blocked", "license_blocked",
+)
+INCLUDE_TITLES = r"bitcoin|btc|xbt|satoshi nakamoto"
+EXCLUDE_TITLES = r"btc city"
+TRACKING_KEYS = r"^(utm_.*|fbclid|gclid|mc_cid|mc_eid)$"
+SENSITIVE_KEYS = (
+    "api-key", "apikey", "api_key", "authorization", "credential", "key", "password", "secret",
+    "signature", "token", "access-token", "access_token", "x-api-key", "x_api_key",
+    "client-secret", "client_secret", "sig",
+)
+# ----------------------------------------------------------------------------
