@@ -11,6 +11,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from chronoweft import settings
 
@@ -18,12 +19,12 @@ _SPACE = r"[\s\x{1C}-\x{1F}]+"
 _NOT_ASCII = r"[^\x{00}-\x{7F}]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _compose(values: pd.Series) -> pd.Series:
     return values.map(lambda v: unicodedata.normalize("NFC", v), na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _fold(values: pd.Series) -> pd.Series:
     return values.str.casefold()
 
