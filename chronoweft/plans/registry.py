@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from chronoweft.operators.features import technical_features
 from chronoweft.operators.labels import next_open_labels
-from chronoweft.plans import indicators, market_data, modeling, news, trading  # noqa: F401
+from chronoweft.plans import (  # noqa: F401
+    indicators, market_data, modeling, news, streams, trading,
+)
 from chronoweft.plans.common import ORACLES, QUERIES, hourly, tidy
 from chronoweft.session import tune
 
