@@ -55,10 +55,16 @@ def random_exposure_metrics(market: DataFrame, model_scores: DataFrame, scenario
     """Metric rows of ``simulations`` Bernoulli score sets at the model's signal rate.
 
     All simulations are one job keyed by ``run_id``. Only drawn signals are materialised as rows;
-    the performance window is computed once, because every simulation shares the decisions.
+    the performance window is computed once, because every simulation shares the decisions. Both
+    inputs are spread over the configured shuffle partitions first: every one of their rows is about
+    to become ``simulations`` rows, and a small file must not make that one task's work.
     """
     keys = list(keys)
     spark = market.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    market = market.select(*keys, "pos", "timestamp", "open").repartition(width, *keys, "pos")
+    model_scores = model_scores.select(*keys, "pos", "probability_score").repartition(
+        width, *keys, "pos")
     runs = spark.range(simulations).select(F.col("id").alias("run_id"))
     rate = model_scores.groupBy(*keys).agg(
         F.avg((F.col("probability_score") >= threshold).cast("double")).alias("signal_probability")

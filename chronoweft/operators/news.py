@@ -136,8 +136,10 @@ def candidates(observations: DataFrame, *, provider: str = settings.NEWS_PROVIDE
             F.col("source"), F.col("title"))))
 
 
-_EXCLUSION_COLUMNS = ["provider_observation_id", "reason", "diagnostic", "raw_snapshot_sha256",
-                      "input_class"]
+def written_candidates(observations: DataFrame, **options) -> DataFrame:
+    """Candidates as a written table, without the raw text they came from."""
+    return materialise(candidates(observations, **options).drop(
+        "raw_url", "raw_title", "raw_language", "raw_provider_first_seen_at"), "candidates")
 
 
 def mark_conflicts(cands: DataFrame) -> DataFrame:
@@ -234,7 +236,7 @@ def normalise(observations: DataFrame, **options) -> dict[str, DataFrame]:
     Candidates and versions feed several outputs each, so both are written once and read back;
     the text and hash work is not repeated per output.
     """
-    cands = materialise(mark_conflicts(candidates(observations, **options)), "candidates")
+    cands = mark_conflicts(written_candidates(observations, **options))
     reps = materialise(representatives(cands), "versions")
     groups = causal_groups(initial_versions(reps))
     return {

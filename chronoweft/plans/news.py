@@ -207,7 +207,7 @@ SELECT aid AS article_id, first_seen AS first_seen_at, rep AS provider_observati
 FROM reps""")
 def article_versions(spark, sf):
     """First observation of every version of every article."""
-    cands = nw.mark_conflicts(nw.candidates(observations(spark, sf), **OPTIONS))
+    cands = nw.mark_conflicts(nw.written_candidates(observations(spark, sf), **OPTIONS))
     return nw.representatives(cands).select(
         "article_id", "first_seen_at", "provider_observation_id", "observations")
 
@@ -250,7 +250,7 @@ SELECT aid AS article_id, anchor AS anchor_article_id,
        sha256('duplicate-group-v1' || chr(10) || anchor) AS duplicate_group_id FROM placed""")
 def duplicate_groups(spark, sf):
     """Causal duplicate groups of the accepted articles."""
-    cands = nw.mark_conflicts(nw.candidates(observations(spark, sf), **OPTIONS))
+    cands = nw.mark_conflicts(nw.written_candidates(observations(spark, sf), **OPTIONS))
     groups = causal_groups(nw.initial_versions(nw.representatives(cands)))
     return groups.select("article_id", "anchor_article_id", "duplicate_group_id")
 

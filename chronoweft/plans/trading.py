@@ -27,15 +27,16 @@ BASE = [s for s in settings.COST_SCENARIOS if s[0] == "base"]
 
 
 def market(spark, sf):
-    return numbered(spark, sf, level=LEVEL).drop("n")
+    """Numbered hourly bars as a written table, as a market store would hold them."""
+    return materialise(numbered(spark, sf, level=LEVEL).drop("n"), "market")
 
 
-def labeled_scores(spark, sf):
+def labeled_scores(bars):
     """Every labeled row with a deterministic score; run ``model``."""
-    rows = next_open_labels(market(spark, sf), ["symbol"], chunk_rows=CHUNK)
-    return rows.select(
+    rows = next_open_labels(bars, ["symbol"], chunk_rows=CHUNK)
+    return materialise(rows.select(
         F.lit("model").alias("run_id"), "symbol", "pos", "timestamp",
-        pseudo_score().alias("probability_score"), "label")
+        pseudo_score().alias("probability_score"), "label"), "scores")
 
 
 SCORES_SQL = f"""
@@ -95,9 +96,9 @@ SCEN_BASE = "scen(scenario, f, e) AS (VALUES ('base', 0.001::DOUBLE, 0.0003::DOU
 
 
 def _evaluated(spark, sf, scenarios):
-    scores = labeled_scores(spark, sf)
-    curve, ledger = tr.evaluate(market(spark, sf), scores, scenarios, horizon=H,
-                                chunk_rows=CHUNK)
+    bars = market(spark, sf)
+    scores = labeled_scores(bars)
+    curve, ledger = tr.evaluate(bars, scores, scenarios, horizon=H, chunk_rows=CHUNK)
     return scores, curve, ledger
 
 
@@ -108,8 +109,7 @@ def performance_windows(spark, sf):
     """Common performance window of each run."""
     m = market(spark, sf)
     lengths = m.groupBy("symbol").agg((F.max("pos") + 1).alias("n"))
-    return tidy(tr.performance_windows(labeled_scores(spark, sf), lengths, ["run_id"],
-                                       ["symbol"], H))
+    return tidy(tr.performance_windows(labeled_scores(m), lengths, ["run_id"], ["symbol"], H))
 
 
 @query("non_overlapping_trades", f"""
@@ -117,7 +117,8 @@ WITH RECURSIVE {sql_candles(price=PRICE)}, {LABELS_SQL}, {SCORES_SQL}, {selectio
 SELECT run_id, symbol, pos AS signal_pos FROM walk WHERE last = pos""")
 def non_overlapping_trades(spark, sf):
     """Signals the greedy rule turns into trades."""
-    m, scores = market(spark, sf), labeled_scores(spark, sf)
+    m = market(spark, sf)
+    scores = labeled_scores(m)
     lengths = m.groupBy("symbol").agg((F.max("pos") + 1).alias("n"))
     windows = tr.performance_windows(scores, lengths, ["run_id"], ["symbol"], H)
     return tr.taken_signals(scores, windows, ["run_id"], ["symbol"], H, 0.5)
@@ -245,8 +246,9 @@ WITH RECURSIVE {sql_candles(price=PRICE)}, {LABELS_SQL}, {SCORES_SQL}, {selectio
 SELECT run_id, scenario, symbol, {picked(RATIOS)} FROM metrics""")
 def cost_sensitivity(spark, sf):
     """One selection, three cost scenarios."""
-    out = bl.cost_sensitivity(market(spark, sf), labeled_scores(spark, sf),
-                              sensitivity_scenarios(spark), "1h", chunk_rows=CHUNK)
+    bars = market(spark, sf)
+    out = bl.cost_sensitivity(bars, labeled_scores(bars), sensitivity_scenarios(spark), "1h",
+                              chunk_rows=CHUNK)
     return tidy(out.select("run_id", "scenario", "symbol", *RATIOS, *COUNTS))
 
 
@@ -262,8 +264,8 @@ SELECT 'buy_and_hold' AS run_id, 'base' AS scenario, symbol, t0 AS entry_timesta
   h AS holding_candles, {r('p1 / p0 * 0.9997 / 1.0003 * 0.999 * 0.999 - 1')} AS net_return FROM x""")
 def buy_and_hold(spark, sf):
     """The one-trade ledger of holding the whole window."""
-    _, ledger = bl.buy_and_hold(market(spark, sf), labeled_scores(spark, sf),
-                                scenario_table(spark, BASE))
+    bars = market(spark, sf)
+    _, ledger = bl.buy_and_hold(bars, labeled_scores(bars), scenario_table(spark, BASE))
     return tidy(ledger.select("run_id", "scenario", "symbol", "entry_timestamp",
                               "exit_timestamp", "equity_after_exit", "holding_candles",
                               "net_return"))
@@ -281,7 +283,7 @@ scores AS (
 
 def suite_decisions(spark, sf):
     """Labeled feature rows with the model score (written once, read by every strategy)."""
-    raw = number_rows(hourly(spark, sf, level=LEVEL), ["symbol"])
+    raw = market(spark, sf)
     feats = technical_features(raw, ["symbol"], positioned=True, chunk_rows=CHUNK)
     rows = next_open_labels(feats, ["symbol"], chunk_rows=CHUNK)
     return raw, materialise(rows.withColumn("probability_score", pseudo_score()).select(
@@ -334,16 +336,18 @@ scores AS (
 SELECT run_id, scenario, symbol, {picked(RATIOS)} FROM metrics""")
 def random_exposure(spark, sf):
     """Bernoulli score sets at the model's signal rate, all simulations in one job."""
+    bars = market(spark, sf)
     out = bl.random_exposure_metrics(
-        market(spark, sf), labeled_scores(spark, sf), scenario_table(spark, BASE),
-        simulations=SIMS, chunk_rows=1024)
+        bars, labeled_scores(bars), scenario_table(spark, BASE), simulations=SIMS,
+        chunk_rows=1024)
     return tidy(out.select("run_id", "scenario", "symbol", *RATIOS, *COUNTS))
 
 
 @query("random_exposure_summary", None)
 def random_exposure_summary(spark, sf):
     """Quantiles over 1 000 simulations against the model."""
-    m, scores = market(spark, sf), labeled_scores(spark, sf)
+    m = market(spark, sf)
+    scores = labeled_scores(m)
     base = scenario_table(spark, BASE)
     sims = bl.random_exposure_metrics(m, scores, base)
     curve, _ = tr.evaluate(m, scores, base)
@@ -397,3 +401,36 @@ def underwater_summary(spark, sf):
     ).agg(F.sum("o_totalprice").alias("equity"))
     rows = risk.drawdowns(number_rows(daily, ["k"]), ["k"], chunk_rows=CHUNK)
     return tidy(risk.drawdown_summary(rows, ["k"], F.lit(0).cast("long")))
+
+
+@query("holdout_evaluation", None)
+def holdout_evaluation(spark, sf):
+    """The whole holdout report on minute bars of all events.
+
+    One model score set, four baselines, three cost scenarios and 1 000 random simulations over the
+    newest fifth of the series; every part is one metric row per run.
+    """
+    from chronoweft.operators.splits import assign_partitions
+
+    minute = hourly(spark, sf, "1m", level=LEVEL).filter(F.col("symbol") == "ALL")
+    raw = materialise(number_rows(minute, ["symbol"]), "bars")
+    rows = next_open_labels(
+        technical_features(raw, ["symbol"], positioned=True), ["symbol"])
+    split = assign_partitions(rows.withColumn("market_pos", F.col("pos")), ["symbol"])
+    decisions = materialise(split.filter(F.col("partition") == "holdout").select(
+        "symbol", F.col("market_pos").alias("pos"), "timestamp",
+        pseudo_score().alias("probability_score"), "label", "ema_short", "ema_long",
+        "return_24"), "holdout")
+    base = scenario_table(spark, BASE)
+    model = decisions.withColumn("run_id", F.lit("model"))
+    suite = bl.strategy_suite(raw, decisions, base, "1m")
+    costs = bl.cost_sensitivity(raw, model, sensitivity_scenarios(spark), "1m")
+    sims = bl.random_exposure_metrics(raw, model, base, timeframe="1m")
+    columns = ["run_id", "scenario", "symbol", *RATIOS, *COUNTS]
+    parts = [
+        suite.select(F.lit("strategy").alias("part"), *columns),
+        costs.select(F.lit("cost_sensitivity").alias("part"), *columns),
+        sims.withColumn("run_id", F.concat(F.lit("random-"), F.col("run_id")))
+        .select(F.lit("random").alias("part"), *columns),
+    ]
+    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -15,8 +17,26 @@ _RUNTIME = {
 }
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Arrow functions are pickled by reference, so every executor must be able to import them wherever
+    the driver was started.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_chronoweft_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = shutil.make_archive(
+        os.path.join(tempfile.mkdtemp(prefix="spark-"), "chronoweft"), "zip",
+        root_dir=os.path.dirname(here), base_dir=os.path.basename(here))
+    context.addPyFile(archive)
+    context._chronoweft_shipped = True
+
+
 def tune(spark: SparkSession) -> SparkSession:
-    """Apply the runtime settings every operator relies on (UTC clock, AQE)."""
+    """Apply the runtime settings every operator relies on (UTC clock, AQE, package on workers)."""
+    ship_package(spark)
     for key, value in _RUNTIME.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
