@@ -183,3 +183,23 @@ def holdout_scoring(spark, sf):
     write_run_table(scored.select("symbol", "timestamp", "label", "probability_score", "signal"),
                     scratch_path(spark, "runs"), "holdout_scores", "run-1")
     return tidy(scored.select("symbol", "timestamp", "label", "probability_score", "signal"))
+
+
+@query("ablation_cells", """
+SELECT 'ALL'::VARCHAR AS symbol, 0::BIGINT AS timestamp, 0::BIGINT AS fold, 0::BIGINT AS actual_label,
+       0::BIGINT AS copies WHERE false""")
+def ablation_cells(spark, sf):
+    """Technical against technical-plus-news cells on identical rows; empty when matched."""
+    from chronoweft.operators.sentiment import NEWS_FEATURES, news_features
+    from chronoweft.plans.news import versions_table
+
+    rows = fold_table(spark, sf).filter(F.col("symbol") == "ALL")
+    decisions = rows.select(F.col("timestamp").alias("decision_at")).distinct()
+    news = news_features(decisions, versions_table(spark, sf)).select(
+        F.col("decision_at").alias("timestamp"),
+        *[F.col(c).cast("double").alias(c) for c in NEWS_FEATURES])
+    joined = materialise(rows.join(news, "timestamp", "left"), "cells")
+    cells = md.ablation_cells(
+        joined, IndicatorSpec().feature_columns, NEWS_FEATURES,
+        {"boosted": md.boosted_factory(trees=2)}, keep=["symbol", "timestamp"], n_splits=2)
+    return tidy(md.cell_differences(materialise(cells, "predictions"), ["symbol", "timestamp"]))
