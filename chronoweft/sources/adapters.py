@@ -16,6 +16,20 @@ def bucket_start(ts: Column, timeframe: str) -> Column:
     )
 
 
+def tick_rank(ticks: DataFrame, ts: str, order: str | None) -> Column:
+    """Arrival order of ticks as one value.
+
+    With an integer tie-breaker the rank is a single decimal, which keeps first and last price in a
+    hash aggregate; a struct would force a sort of all ticks.
+    """
+    if order is None:
+        return F.unix_micros(ts)
+    if dict(ticks.dtypes)[order] in ("tinyint", "smallint", "int", "bigint"):
+        scale = F.lit("10000000000000000000").cast("decimal(20,0)")
+        return F.unix_micros(ts).cast("decimal(18,0)") * scale + F.col(order).cast("decimal(19,0)")
+    return F.struct(F.col(ts), F.col(order))
+
+
 def candles_from_ticks(ticks: DataFrame, *, ts: str, price: str, timeframe: str,
                        symbol: str | None = None, order: str | None = None,
                        total_symbol: str | None = "ALL") -> DataFrame:
@@ -25,7 +39,7 @@ def candles_from_ticks(ticks: DataFrame, *, ts: str, price: str, timeframe: str,
     symbol that holds most of the ticks costs no more than its bars. ``total_symbol`` adds one
     series over all symbols, built from the bars rather than from the ticks.
     """
-    rank = F.struct(F.col(ts), F.col(order)) if order else F.col(ts)
+    rank = tick_rank(ticks, ts, order)
     base = ticks.select(
         (F.col(symbol) if symbol else F.lit(total_symbol)).alias("symbol"),
         bucket_start(F.col(ts), timeframe).alias("timestamp"),
