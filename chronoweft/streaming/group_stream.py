@@ -11,7 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoweft import settings
 
-OUTPUT = ("dedup_fingerprint string, article_id string, anchor_article_id string, "
+OUTPUT = ("dedup_fingerprint string, first_seen_at timestamp, anchor_article_id string, "
           "anchor_first_seen_at timestamp")
 STATE = "at long, anchor string"
 _HOUR_MS = 3_600_000
@@ -25,33 +25,35 @@ def _assign(hours: int):
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(batches)).sort_values(["t", "article_id"])
+        leads: dict[int, str] = {}
+        for batch in batches:
+            for t, article in batch.groupby("t")["article_id"].min().items():
+                leads[t] = min(article, leads.get(t, article))
         at, anchor = state.get if state.exists else (None, None)
-        anchors, times = [], []
-        for t, article in zip(rows["t"], rows["article_id"], strict=True):
+        rows = []
+        for t in sorted(leads):
             if at is None or t - at > horizon:
-                at, anchor = int(t), article
-            anchors.append(anchor)
-            times.append(at)
+                at, anchor = int(t), leads[t]
+            rows.append((key[0], t, anchor, at))
         state.update((at, anchor))
         state.setTimeoutTimestamp(max(
             at // 1000 + hours * _HOUR_MS + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "dedup_fingerprint": key[0], "article_id": rows["article_id"].to_numpy(),
-            "anchor_article_id": anchors,
-            "anchor_first_seen_at": pd.to_datetime(times, unit="us"),
-        })
+        out = pd.DataFrame(rows, columns=["dedup_fingerprint", "first_seen_at",
+                                          "anchor_article_id", "anchor_first_seen_at"])
+        for c in ("first_seen_at", "anchor_first_seen_at"):
+            out[c] = pd.to_datetime(out[c], unit="us")
+        yield out
 
     return step
 
 
 def grouped_stream(articles: DataFrame, *, hours: int = settings.DUPLICATE_HORIZON_HOURS,
                    lateness: str = "0 seconds") -> DataFrame:
-    """Assign an anchor to every arriving article.
+    """Anchor of every text at every arrival instant; articles join it on text and instant.
 
-    State per text is its newest anchor, dropped once 72 hours have passed. Only times and ids
-    enter the function; a trigger's size bounds what one text can bring at once. Jobs that must
-    take arbitrarily hot texts use the batch operator inside ``foreachBatch`` instead.
+    State per text is its newest anchor, dropped once 72 hours have passed. Articles are consumed
+    batch by batch and only the first id of each instant is kept, so a text copied without end
+    costs no more than the instants of one trigger.
     """
     narrow = articles.withWatermark("first_seen_at", lateness).select(
         "dedup_fingerprint", "article_id", "first_seen_at",

@@ -190,6 +190,23 @@ def test_coverage_case(spark):
         cv.retrieval_plan(spark, "2026-01-01", "2026-02-01").count()
 
 
+def test_publication_needs_terminal_coverage(spark, tmp_path):
+    write(tmp_path, "20260101010000", [snapshot_line(1)])
+    _, obs = observations(spark, tmp_path)
+    batch = nw.normalise(obs)
+
+    def report(n):
+        return spark.createDataFrame([(0, n)], "pending_intervals long, unresolved_intervals long")
+
+    root = f"file:{tmp_path}/out"
+    with pytest.raises(ContractViolation):
+        nw.publish(batch, report(1), root, "b1")
+    nw.publish(batch, report(0), root, "b1")
+    assert spark.read.parquet(f"{root}/articles").count() == 2
+    with pytest.raises(Exception, match="exists"):
+        nw.publish(batch, report(0), root, "b1")
+
+
 ATTEMPTS = ("id int, attempt_number int, s int, http_status int, error_kind string, "
             "retry_after_seconds double, retry_disposition string")
 
