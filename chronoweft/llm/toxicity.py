@@ -125,21 +125,8 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Sentences()
         for b in batches:
-            total, worst, best = [], [], []
-            for text in b["text"]:
-                bag = read(text)
-                if not bag:
-                    total.append(0.0)
-                    worst.append(None)
-                    best.append(0.0)
-                    continue
-                n = np.fromiter((len(s) for s in bag), np.int64, len(bag))
-                flat = np.concatenate([np.asarray(s) for s in bag])
-                z = np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(n)[:-1]])) + w[-1]
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                total.append(float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())))
-                worst.append(int(p.argmax()))
-                best.append(float(p.max()))
+            total, worst, best = zip(*[noisy_or(read(t), w) for t in b["text"]]) if len(b) else (
+                (), (), ())
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": total,
                                 "worst_sentence": pd.array(worst, "Int64"), "worst_score": best})
 
@@ -147,6 +134,32 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
         run, "doc_id bigint, score double, worst_sentence bigint, worst_score double")
 
 
+def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose text scores below ``threshold``, scored in place."""
+    w = weights.astype(np.float64)
+    names = docs.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        read = Sentences()
+        for b in batches:
+            low = np.array([noisy_or(read(t), w)[0] < threshold for t in b["text"]], bool)
+            yield b.loc[low, names]
+
+    return docs.mapInPandas(run, docs.schema)
+
+
+def noisy_or(bag: list[list[int]], w: np.ndarray) -> tuple[float, int | None, float]:
+    """Score of a text, its worst sentence and that sentence's score."""
+    if not bag:
+        return 0.0, None, 0.0
+    n = np.fromiter((len(s) for s in bag), np.int64, len(bag))
+    flat = np.concatenate([np.asarray(s) for s in bag])
+    z = np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(n)[:-1]])) + w[-1]
+    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+    return (float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(p.argmax()),
+            float(p.max()))
+
+
 def fold(c: str = "doc_id"):
     return F.crc32(F.col(c).cast("string").cast("binary")) % 3
 
