@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from chronoweft.llm.common import query, table, words_of
 
-FEATURES = 1 << 16
+FEATURES = 1 << 18
+PREFIX = 5
 SAMPLE_ROWS = 6000
 THRESHOLD = 0.7
 MAX_SENTENCE = 40
@@ -22,10 +23,13 @@ _TRIM = re.compile(r"[^\w]+")
 
 
 class Sentences:
-    """Feature ids of every sentence of a text, with a bounded memo of words."""
+    """Feature ids of every sentence of a text, with a bounded memo of words.
+
+    A word gives its own feature and one of its first letters, so that forms of a stem share evidence.
+    """
 
     def __init__(self, limit: int = 400_000):
-        self.memo: dict[str, int] = {}
+        self.memo: dict[str, tuple[int, ...]] = {}
         self.limit = limit
 
     def __call__(self, text: str | None) -> list[list[int]]:
@@ -40,21 +44,21 @@ class Sentences:
                     f = self.memo.get(w)
                     if f is None:
                         bare = _TRIM.sub("", w)
-                        f = self.memo[w] = (
-                            zlib.crc32(bare.encode("utf-8", "surrogatepass")) % FEATURES
-                            if bare else -1)
-                    if f >= 0:
-                        ids.add(f)
+                        f = self.memo[w] = tuple(
+                            zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES
+                            for x in ((bare, bare[:PREFIX] + "*") if len(bare) >= PREFIX
+                                      else (bare,) if bare else ()))
+                    ids.update(f)
                 if ids:
                     out.append(sorted(ids))
         return out
 
 
-def fit(bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 160, rate: float = 0.15,
-        decay: float = 2e-5, min_bags: int = 5) -> np.ndarray:
+def fit(bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 300, rate: float = 0.15,
+        decay: float = 1e-5, least_share: float = 0.005) -> np.ndarray:
     """Sentence weights (last entry: bias) by gradient ascent on P(doc) = 1 - prod(1 - p_sentence).
 
-    Words of fewer than ``min_bags`` bags keep weight 0. One class alone, or no bag, gives a constant.
+    Features of fewer than ``least_share`` of the bags, or of fewer than three, keep weight 0. One class alone, or no bag, gives a constant.
     """
     w = np.zeros(FEATURES + 1)
     w[-1] = -6.0
@@ -68,7 +72,7 @@ def fit(bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 160, rate
                        minlength=FEATURES + 1)
     hits = np.bincount(np.unique((doc[sent] * (FEATURES + 1) + feat)[y[doc[sent]] > 0])
                        % (FEATURES + 1), minlength=FEATURES + 1)
-    live = seen >= min_bags
+    live = seen >= max(3, least_share * len(bags))
     prior = y.mean()
     lift = np.log((hits + 20 * prior) / (seen + 20) / prior)
     w[:-1] = np.where(live, np.clip(lift, -1, 3), 0)[:-1]
