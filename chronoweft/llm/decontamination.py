@@ -75,7 +75,8 @@ def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ..
                         out["id"].append(key)
                         out["window"].append(int(w[i]) - 2**63)
                         out["slots"].append(_slots(typed, plain, i, size))
-            yield pd.DataFrame(out)
+            if out["id"]:  # empty lists have no type
+                yield pd.DataFrame(out)
     return run
 
 
