@@ -20,35 +20,51 @@ UNITS = frozenset(
     "week months month years year meters meter metres metre kilometers kilometres miles mile feet foot "
     "inches inch pounds pound ounces ounce grams gram kilograms liters litres dollars dollar euros euro "
     "cents cent percent degrees degree mph kmh kph usd eur gbp".split())
-_WORD = re.compile(r"[^\s]+")
 _EDGE = re.compile(r"^[^\w]+|[^\w%]+$")
 _NUMBER = re.compile(r"[+-]?[\d][\d.,:/]*%?")
 
 
-def template(text: str | None) -> tuple[list[str], list[str]]:
-    """Words with numbers, units and names as typed places, and the words themselves.
+class Templates:
+    """Words of a text with numbers, units and names as typed places, and the words themselves.
 
-    A name is a capitalised word that does not begin a sentence; a unit follows a number.
+    A name is a capitalised word that does not begin a sentence; a unit follows a number. What a raw word
+    says by itself is kept in a bounded memo.
     """
-    typed, plain = [], []
-    begins, counted = True, False
-    for raw in _WORD.findall(text or ""):
+
+    def __init__(self, limit: int = 400_000):
+        self.memo: dict[str, tuple[str, bool, bool, bool, bool]] = {}
+        self.limit = limit
+
+    def _look(self, raw: str) -> tuple[str, bool, bool, bool, bool]:
         word = _EDGE.sub("", raw)
-        if word:
-            low = word.lower()
-            if _NUMBER.fullmatch(word):
-                kind = "<number>"
-            elif counted and low in UNITS:
-                kind = "<unit>"
-            elif word[0].isupper() and not begins:
-                kind = "<name>"
+        low = word.lower()
+        got = self.memo[raw] = (low, bool(_NUMBER.fullmatch(word)), low in UNITS,
+                                word[:1].isupper(), raw[-1] in ".!?:")
+        return got
+
+    def __call__(self, text: str | None) -> tuple[list[str], list[str]]:
+        memo = self.memo
+        if len(memo) > self.limit:
+            memo.clear()
+        typed, plain = [], []
+        begins, counted = True, False
+        for raw in (text or "").split():
+            low, number, unit, upper, ends = memo.get(raw) or self._look(raw)
+            if low:
+                if number:
+                    kind = "<number>"
+                elif counted and unit:
+                    kind = "<unit>"
+                elif upper and not begins:
+                    kind = "<name>"
+                else:
+                    kind = low
+                typed.append(kind)
+                plain.append(low)
+                counted, begins = number, ends
             else:
-                kind = low
-            typed.append(kind)
-            plain.append(low)
-            counted = kind == "<number>"
-        begins = raw[-1] in ".!?:" or (begins and not word)
-    return typed, plain
+                begins = ends or begins
+        return typed, plain
 
 
 def _slots(typed: list[str], plain: list[str], at: int, width: int) -> list[str]:
@@ -57,7 +73,7 @@ def _slots(typed: list[str], plain: list[str], at: int, width: int) -> list[str]
 
 def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ...]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHash()
+        hashes, template = WordHash(), Templates()
         bits = None if mask is None else np.unpackbits(mask)
         for batch in batches:
             out = {"id": [], "window": [], "slots": []}
@@ -128,6 +144,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 
 
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    template = Templates()
     for batch in batches:
         yield pd.DataFrame({"n": [len(template(t)[0]) for t in batch["text"]]}).astype("int32")
 
