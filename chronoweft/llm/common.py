@@ -15,8 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_FOLD = {ord(u): ord(v) for u, v in zip(UPPER, LOWER)}
-_BLANKS = {c: 32 for c in range(9, 14)}
+_FOLD = bytes.maketrans((UPPER + "\t\n\v\f\r").encode(), (LOWER + "     ").encode())
 HOT_SHARE = 500
 
 
@@ -48,7 +47,12 @@ def words_of(text: str | None) -> list[str]:
     """Words between the six ASCII blanks, A-Z folded."""
     if not text:
         return []
-    return [w for w in text.translate(_FOLD).translate(_BLANKS).split(" ") if w]
+    return [w for w in fold_bytes(text, _FOLD).split(" ") if w]
+
+
+def fold_bytes(text: str, table_: bytes) -> str:
+    """``text`` with single ASCII characters replaced; others are bytes over 127 and stay."""
+    return text.encode("utf-8", "surrogatepass").translate(table_).decode("utf-8", "surrogatepass")
 
 
 class WordHash:

@@ -11,47 +11,66 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import query, table, words_of
+from chronoweft.llm.common import LOWER, UPPER, fold_bytes, query, table
 
 FEATURES = 1 << 18
 PREFIX = 5
 SAMPLE_ROWS = 6000
 THRESHOLD = 0.7
 MAX_SENTENCE = 40
-_CUT = re.compile(r"[.!?\n\r]+")
+BITS, CHUNK = 19, 64
+_CUT = bytes.maketrans((UPPER + ".!?\n\r\t\v\f").encode(), (LOWER + "\n\n\n\n\n   ").encode())
 _TRIM = re.compile(r"[^\w]+")
 
 
+def _feature(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % FEATURES + 1 if word else 0
+
+
 class Sentences:
     """Feature ids of every sentence of a text, with a bounded memo of words.
 
     A word gives its own feature and one of its first letters, so that forms of a stem share evidence.
+    The memo holds both as one number: feature + 1 in the lower ``BITS``, that of the stem above; 0 is none.
     """
 
     def __init__(self, limit: int = 400_000):
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, int] = {}
         self.limit = limit
 
-    def __call__(self, text: str | None) -> list[list[int]]:
+    def _add(self, word: str) -> None:
+        bare = _TRIM.sub("", word)
+        stem = bare[:PREFIX] + "*" if len(bare) >= PREFIX else ""
+        self.memo[word] = _feature(bare) | _feature(stem) << BITS
+
+    def arrays(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Text of every sentence, and (sentence, feature) of every distinct pair, in order."""
         if len(self.memo) > self.limit:
             self.memo.clear()
-        out = []
-        for part in _CUT.split(text or ""):
-            words = words_of(part)
-            for at in range(0, len(words), MAX_SENTENCE):
-                ids = set()
-                for w in words[at:at + MAX_SENTENCE]:
-                    f = self.memo.get(w)
-                    if f is None:
-                        bare = _TRIM.sub("", w)
-                        f = self.memo[w] = tuple(
-                            zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES
-                            for x in ((bare, bare[:PREFIX] + "*") if len(bare) >= PREFIX
-                                      else (bare,) if bare else ()))
-                    ids.update(f)
-                if ids:
-                    out.append(sorted(ids))
-        return out
+        words, lengths, owner = [], [], []
+        for i, text in enumerate(texts):
+            for part in fold_bytes(text or "", _CUT).split("\n"):
+                found = [w for w in part.split(" ") if w]
+                words += found
+                for at in range(0, len(found), MAX_SENTENCE):
+                    lengths.append(min(MAX_SENTENCE, len(found) - at))
+                    owner.append(i)
+        for word in set(words).difference(self.memo):
+            self._add(word)
+        packed = np.fromiter(map(self.memo.__getitem__, words), np.int64, len(words))
+        place = np.repeat(np.arange(len(lengths)), lengths) << BITS
+        low = (1 << BITS) - 1
+        pairs = np.concatenate([place | packed & low, place | packed >> BITS])
+        pairs = np.sort(pairs[pairs & low > 0])
+        pairs = pairs[np.diff(pairs, prepend=-1) != 0]
+        begins = np.diff(pairs >> BITS, prepend=-1) != 0
+        kept = (pairs >> BITS)[begins]
+        return np.array(owner, np.int64)[kept], np.cumsum(begins) - 1, (pairs & low) - 1
+
+    def __call__(self, text: str | None) -> list[list[int]]:
+        owner, sentence, feature = self.arrays([text])
+        cuts = np.searchsorted(sentence, np.arange(1, len(owner)))
+        return [x.tolist() for x in np.split(feature, cuts)] if len(owner) else []
 
 
 def fit(bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 300, rate: float = 0.15,
@@ -129,8 +148,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Sentences()
         for b in batches:
-            total, worst, best = zip(*[noisy_or(read(t), w) for t in b["text"]]) if len(b) else (
-                (), (), ())
+            total, worst, best = noisy_or(read, b["text"].tolist(), w)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": total,
                                 "worst_sentence": pd.array(worst, "Int64"), "worst_score": best})
 
@@ -146,22 +164,28 @@ def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOL
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read = Sentences()
         for b in batches:
-            low = np.array([noisy_or(read(t), w)[0] < threshold for t in b["text"]], bool)
-            yield b.loc[low, names]
+            yield b.loc[noisy_or(read, b["text"].tolist(), w)[0] < threshold, names]
 
     return docs.mapInPandas(run, docs.schema)
 
 
-def noisy_or(bag: list[list[int]], w: np.ndarray) -> tuple[float, int | None, float]:
-    """Score of a text, its worst sentence and that sentence's score."""
-    if not bag:
-        return 0.0, None, 0.0
-    n = np.fromiter((len(s) for s in bag), np.int64, len(bag))
-    flat = np.concatenate([np.asarray(s) for s in bag])
-    z = np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(n)[:-1]])) + w[-1]
-    p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-    return (float(-np.expm1(np.log1p(-np.minimum(p, 1 - 1e-12)).sum())), int(p.argmax()),
-            float(p.max()))
+def noisy_or(read: Sentences, texts: list[str | None],
+             w: np.ndarray) -> tuple[np.ndarray, list[int | None], np.ndarray]:
+    """Score of every text, its worst sentence and that sentence's score."""
+    total, best, worst = np.zeros(len(texts)), np.zeros(len(texts)), [None] * len(texts)
+    for at in range(0, len(texts), CHUNK):
+        part = texts[at:at + CHUNK]
+        owner, sentence, feature = read.arrays(part)
+        z = np.bincount(sentence, w[feature], minlength=len(owner)) + w[-1]
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        none = np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-12)), minlength=len(part))
+        total[at:at + len(part)] = 0.0 - np.expm1(none)
+        ends = np.searchsorted(owner, np.arange(len(part) + 1))
+        for i in np.unique(owner).tolist():
+            mine = p[ends[i]:ends[i + 1]]
+            worst[at + i] = int(mine.argmax())
+            best[at + i] = mine[worst[at + i]]
+    return total, worst, best
 
 
 def fold(c: str = "doc_id"):
