@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft.llm.common import WordHash, hot_join, query, table, windows
@@ -71,15 +72,19 @@ def _slots(typed: list[str], plain: list[str], at: int, width: int) -> list[str]
     return [plain[i] for i in range(at, min(at + width, len(typed))) if typed[i][0] == "<"]
 
 
+FOUND = "id bigint, copy bigint, length int, at int, window bigint, slots array<string>"
+
+
 def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ...]):
+    """Rows FOUND: ``copy`` tells texts of one id apart, ``length`` and ``at`` are counted in words."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes, template = WordHash(), Templates()
         bits = None if mask is None else np.unpackbits(mask)
         for batch in batches:
-            out = {"id": [], "window": [], "slots": []}
+            out = {"id": [], "copy": [], "length": [], "at": [], "window": [], "slots": []}
             for key, text in zip(batch[id_col], batch["text"]):
                 typed, plain = template(text)
-                h = hashes(typed)
+                h, copy = hashes(typed), None
                 for size in (sizes if sizes else (width,)):
                     if sizes and len(typed) < size:
                         continue
@@ -88,7 +93,12 @@ def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ..
                     if bits is not None:
                         at = at[bits[(w % np.uint64(FILTER_BITS)).astype(np.int64)] > 0]
                     for i in at.tolist():
+                        if copy is None:
+                            copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
                         out["id"].append(key)
+                        out["copy"].append(copy)
+                        out["length"].append(len(typed))
+                        out["at"].append(i)
                         out["window"].append(int(w[i]) - 2**63)
                         out["slots"].append(_slots(typed, plain, i, size))
             if out["id"]:  # empty lists have no type
@@ -100,17 +110,21 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
             percent: int = PERCENT, slot_percent: int = SLOT_PERCENT) -> DataFrame:
     """doc_id, item_id, share, consistent: items whose templates stand in a document.
 
-    An item matches when at least ``percent`` of its distinct windows of ``width`` template words are in
-    the document and at least ``slot_percent`` of its slot values always meet one and the same value there.
-    Items shorter than the window match as a whole; null, empty or blank items match nothing, null and
-    empty texts contain nothing; repeated rows of a document or item give one row per pair of ids.
+    An item matches when one of its occurrences passes: at least ``percent`` of its distinct windows of
+    ``width`` template words are there, and at least ``slot_percent`` of its slot values always meet one and
+    the same value there. An occurrence is what lies on one offset of item against document, what lies within
+    one item length of offsets (two grids, half a length apart; a place of the item counts at its best
+    supported offset), or the whole document (an item in scattered parts). The figures are those of the
+    passing occurrence with the largest share. Items shorter than the window match as a whole; null, empty or
+    blank items match nothing, null and empty texts contain nothing; repeated rows of a document or item give
+    one row per pair of ids, and different texts of one id are occurrences of their own.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter(
         "item_id is not null and text is not null")
     wanted = materialise(items.mapInPandas(
-        _emit("item_id", width, None, ()), "id bigint, window bigint, slots array<string>")
-        .withColumnRenamed("id", "item_id"), "item-windows")
+        _emit("item_id", width, None, ()), FOUND).withColumnsRenamed(
+        {"id": "item_id", "copy": "item_copy"}).distinct(), "item-windows")
     short = items.mapInPandas(_lengths, "n int").filter(f"n < {width} and n > 0").distinct()
     sizes = tuple(sorted({width} | {r[0] for r in short.collect()}))
     # a filter of fixed size (one bit per window hash, 1 MB), whatever the benchmark holds
@@ -122,25 +136,46 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(
         "doc_id is not null")
     found = materialise(rows.mapInPandas(
-        _emit("doc_id", width, mask, sizes), "id bigint, window bigint, slots array<string>")
-        .withColumnRenamed("id", "doc_id").withColumnRenamed("slots", "doc_slots"), "doc-windows")
-    grouped = wanted.groupBy("window").agg(F.collect_list(F.struct("item_id", "slots")).alias("items"))
+        _emit("doc_id", width, mask, sizes), FOUND).drop("length").withColumnsRenamed(
+        {"id": "doc_id", "at": "doc_at", "slots": "doc_slots"}), "doc-windows")
+    grouped = wanted.groupBy("window").agg(F.collect_list(F.struct(
+        "item_id", "item_copy", "length", "at", "slots")).alias("items"))
     counts = found.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
     hits = hot_join(found, grouped, "window", counts, "inner").select(
-        "doc_id", "window", "doc_slots", F.inline("items"))
-    size = wanted.groupBy("item_id").agg(F.countDistinct("window").alias("size"))
-    share = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("window").alias("both")).join(
-        size, "item_id").filter(F.col("both") * 100 >= F.col("size") * percent)
-    share = materialise(share, "shares")
-    pairs = hits.join(share.select("doc_id", "item_id"), ["doc_id", "item_id"], "left_semi").select(
-        "doc_id", "item_id", F.explode(F.arrays_zip("slots", "doc_slots")).alias("z"))
-    steady = pairs.groupBy("doc_id", "item_id", F.col("z.slots").alias("value")).agg(
-        (F.min("z.doc_slots") == F.max("z.doc_slots")).alias("same")).groupBy(
-        "doc_id", "item_id").agg(F.avg(F.col("same").cast("int")).alias("consistent"))
-    out = share.join(steady, ["doc_id", "item_id"], "left")
-    return out.select("doc_id", "item_id", (F.col("both") / F.col("size")).alias("share"),
-                      F.coalesce("consistent", F.lit(1.0)).alias("consistent")).filter(
+        "doc_id", "copy", "doc_at", "window", "doc_slots", F.inline("items"))
+    item = ["item_id", "item_copy"]
+    size = wanted.groupBy(*item).agg(F.countDistinct("window").alias("size"))
+    # no occurrence has more windows of an item than its document has
+    whole = materialise(hits.groupBy("doc_id", *item).agg(F.countDistinct("window").alias("both")).join(
+        size, item).filter(F.col("both") * 100 >= F.col("size") * percent).drop("both"), "shares")
+    pair = ["doc_id", *item]
+    near = hits.join(whole, pair).withColumn("offset", F.col("doc_at") - F.col("at"))
+    near = near.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy(*pair, "copy", "offset")))
+    cell = F.floor(F.col("offset") / F.col("length"))
+    half = F.floor(F.col("offset") / F.col("length") + 0.5)
+    everywhere = F.struct(F.lit(0).alias("kind"), F.lit(0).cast("bigint").alias("text"),
+                          F.lit(0).cast("bigint").alias("cell"))
+    near = near.withColumn("occurrence", F.explode(F.array(everywhere, *[
+        F.struct(F.lit(k).alias("kind"), F.col("copy").alias("text"), c.cast("bigint").alias("cell"))
+        for k, c in ((1, F.col("offset")), (2, cell), (3, half))])))
+    one = [*pair, "occurrence"]
+    support = F.struct("n", "offset")
+    near = materialise(near.withColumn("best", F.max(support).over(Window.partitionBy(*one, "at"))).filter(
+        (F.col("occurrence.kind") == 0) | (F.col("best") == support)).select(
+        *one, "size", "window", "slots", "doc_slots"), "occurrences")
+    share = near.groupBy(*one).agg(
+        F.countDistinct("window").alias("both"), F.first("size").alias("size")).filter(
+        F.col("both") * 100 >= F.col("size") * percent).withColumn("share", F.col("both") / F.col("size"))
+    steady = near.select(*one, F.explode(F.arrays_zip("slots", "doc_slots")).alias("z")).groupBy(
+        *one, F.col("z.slots").alias("value")).agg(
+        (F.min("z.doc_slots") == F.max("z.doc_slots")).alias("same")).groupBy(*one).agg(
+        F.avg(F.col("same").cast("int")).alias("consistent"))
+    passed = share.join(steady, one, "left").withColumn(
+        "consistent", F.coalesce("consistent", F.lit(1.0))).filter(
         F.col("consistent") * 100 >= slot_percent)
+    return passed.groupBy("doc_id", "item_id").agg(
+        F.max(F.struct("share", "consistent")).alias("best")).select(
+        "doc_id", "item_id", "best.share", "best.consistent")
 
 
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -90,6 +90,29 @@ def test_decontamination(spark, docs, none):
     assert decontamination.clean(none, bench.limit(0)).count() == 0
 
 
+def _matched(spark, texts, item):
+    rows = spark.createDataFrame(texts, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    return sorted(r.doc_id for r in decontamination.matches(rows, bench).collect())
+
+
+def test_decontamination_by_occurrence(spark):
+    item = "Anna bought 12 apples and 7 pears at the market for 30 euros on a cold day"
+    other = item.replace("12", "15").replace("7", "9").replace("30", "44")
+    fill = " ".join(f"filler{i}" for i in range(40))
+    torn = item.replace("7 pears", "8 pears").replace("30 euros", "12 euros").replace("12 apples", "30 apples")
+    texts = [
+        (1, f"{item}. {other}."), (2, f"{other}. {fill} {item}"),  # a worksheet holds item and variant
+        (3, f"{fill} {item}. {fill} and 99 pears at the market"),  # one slot window elsewhere
+        (4, item.replace("cold day", "day")),  # a word left out
+        (5, item[:40] + " " + fill), (6, fill), (8, torn),
+        (9, f"{item[:37]}. {fill} {fill} {item[23:]}"),  # in parts, far from each other
+        (10, item), (10, other + " " + fill), (10, fill)]  # texts of one id
+    assert _matched(spark, texts, item) == [1, 2, 3, 4, 8, 9, 10]
+    twice = "He has 5 red pens in a box, he has 8 red pens in a bag"  # templates that repeat in the item
+    assert _matched(spark, [(1, fill + " " + twice), (2, fill)], twice) == [1]
+
+
 def test_index_round_trip(spark, docs, none, tmp_path):
     keys = np.unique(np.random.default_rng(2).integers(-2**62, 2**62, 3000))
     assert sorted(tokens.build_index(keys)[1].tolist()) == list(range(len(keys)))
