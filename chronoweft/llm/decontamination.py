@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import WordHash, hot_join, query, table, windows
+from chronoweft.llm.common import hot_join, mix, query, table, windows
 from chronoweft.session import materialise
 
 WIDTH, PERCENT, SLOT_PERCENT = 5, 80, 80
@@ -25,84 +25,110 @@ _EDGE = re.compile(r"^[^\w]+|[^\w%]+$")
 _NUMBER = re.compile(r"[+-]?[\d][\d.,:/]*%?")
 
 
+KINDS = ("", "<number>", "<unit>", "<name>")
+READINGS = 3
+LITERALS = 2
+
+
 class Templates:
-    """Words of a text with numbers, units and names as typed places, and the words themselves.
+    """Words of a text with typed places, in three readings.
 
-    A name is a capitalised word that does not begin a sentence; a unit follows a number. What a raw word
-    says by itself is kept in a bounded memo.
+    A number is typed in every reading, and so is a unit, a unit word right after a number. Reading 0 types a
+    capitalised word that does not begin a sentence as a name, reading 1 any capitalised word, reading 2
+    none: there words count whatever their case. What a raw word says by itself is kept in a bounded memo.
     """
 
     def __init__(self, limit: int = 400_000):
-        self.memo: dict[str, tuple[str, bool, bool, bool, bool]] = {}
         self.limit = limit
+        self._clear()
+        self.kinds = np.array([xxhash.xxh3_64_intdigest(k) for k in KINDS], np.uint64)
+
+    def _clear(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.low: list[str] = []
+        self.hash, self.says = np.empty(1024, np.uint64), np.empty(1024, np.uint8)
 
-    def _look(self, raw: str) -> tuple[str, bool, bool, bool, bool]:
+    def _look(self, raw: str) -> int:
         word = _EDGE.sub("", raw)
         low = word.lower()
-        got = self.memo[raw] = (low, bool(_NUMBER.fullmatch(word)), low in UNITS,
-                                word[:1].isupper(), raw[-1] in ".!?:")
-        return got
-
-    def __call__(self, text: str | None) -> tuple[list[str], list[str]]:
-        memo = self.memo
-        if len(memo) > self.limit:
-            memo.clear()
-        typed, plain = [], []
-        begins, counted = True, False
-        for raw in (text or "").split():
-            low, number, unit, upper, ends = memo.get(raw) or self._look(raw)
-            if low:
-                if number:
-                    kind = "<number>"
-                elif counted and unit:
-                    kind = "<unit>"
-                elif upper and not begins:
-                    kind = "<name>"
-                else:
-                    kind = low
-                typed.append(kind)
-                plain.append(low)
-                counted, begins = number, ends
-            else:
-                begins = ends or begins
-        return typed, plain
-
-
-def _slots(typed: list[str], plain: list[str], at: int, width: int) -> list[str]:
-    return [plain[i] for i in range(at, min(at + width, len(typed))) if typed[i][0] == "<"]
-
-
-FOUND = "id bigint, copy bigint, length int, at int, window bigint, slots array<string>"
+        at = self.memo[raw] = len(self.low)
+        self.low.append(low)
+        if at == len(self.hash):
+            self.hash, self.says = (np.concatenate([x, np.empty_like(x)]) for x in (self.hash, self.says))
+        self.hash[at] = xxhash.xxh3_64_intdigest(low.encode("utf-8", "surrogatepass"))
+        self.says[at] = (bool(low) | bool(_NUMBER.fullmatch(word)) << 1 | (low in UNITS) << 2
+                         | word[:1].isupper() << 3 | (raw[-1] in ".!?:") << 4)
+        return at
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words (see ``low``) and, per reading, the kind of each place (see KINDS)."""
+        if len(self.memo) > self.limit:
+            self._clear()
+        memo, look = self.memo, self._look
+        ids = np.array([memo[r] if r in memo else look(r) for r in (text or "").split()], np.int64)
+        says = self.says[ids]
+        at = np.flatnonzero(says & 1)
+        ids, word = ids[at], says[at]
+        if not len(at):
+            return ids, np.zeros((READINGS, 0), np.uint8)
+        # a sentence ends at the word before, or at a mark between the two
+        ends = np.concatenate([[0], np.cumsum(says >> 4 & 1)])
+        begins = np.concatenate([[True], ends[at[1:]] > ends[at[:-1]]])
+        number, upper = word & 2 > 0, word & 8 > 0
+        unit = np.concatenate([[False], number[:-1]]) & (word & 4 > 0)
+        plain = np.where(number, 1, np.where(unit, 2, 0)).astype(np.uint8)
+        name = (plain == 0) & upper
+        return ids, np.stack([np.where(n, np.uint8(3), plain) for n in (
+            name & ~begins, name, np.zeros_like(name))])
+
+    def windows(self, ids: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
+        """Hash of every window of a row of ``__call__``."""
+        return windows(np.where(kinds > 0, self.kinds[kinds], self.hash[ids]), width)
+
+    def slots(self, ids: np.ndarray, kinds: np.ndarray) -> list[str]:
+        return [self.low[i] for i in ids[kinds > 0].tolist()]
+
+
+FOUND = "id bigint, copy bigint, reading int, length int, at int, window bigint, bare boolean, slots array<string>"
 
 
 def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ...]):
-    """Rows FOUND: ``copy`` tells texts of one id apart, ``length`` and ``at`` are counted in words."""
+    """Rows FOUND: ``copy`` tells texts of one id apart, ``length`` and ``at`` are counted in words.
+
+    Items (no ``mask``) give all windows; a window of reading 1 is bare with fewer than
+    ``LITERALS`` words of its own, counts in the size of the item and meets nothing.
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, template = WordHash(), Templates()
+        template = Templates()
+        salt = mix(np.arange(1, READINGS, dtype=np.uint64))
         bits = None if mask is None else np.unpackbits(mask)
+        names = [c.split()[0] for c in FOUND.split(", ")]
         for batch in batches:
-            out = {"id": [], "copy": [], "length": [], "at": [], "window": [], "slots": []}
+            out = []
             for key, text in zip(batch[id_col], batch["text"]):
-                typed, plain = template(text)
-                h, copy = hashes(typed), None
-                for size in (sizes if sizes else (width,)):
-                    if sizes and len(typed) < size:
-                        continue
-                    w = windows(h, size)
-                    at = np.arange(len(w))
-                    if bits is not None:
-                        at = at[bits[(w % np.uint64(FILTER_BITS)).astype(np.int64)] > 0]
-                    for i in at.tolist():
-                        if copy is None:
+                ids, kinds = template(text)
+                copy = None
+                for reading in range(READINGS):
+                    kind = kinds[reading]
+                    for size in (sizes if sizes else (width,)):
+                        if sizes and len(ids) < size or not len(ids):
+                            continue
+                        w = template.windows(ids, kind, size)
+                        if reading:
+                            w = w ^ salt[reading - 1]
+                        at = np.arange(len(w))
+                        if bits is not None:
+                            at = at[bits[(w % np.uint64(FILTER_BITS)).astype(np.int64)] > 0]
+                        if copy is None and len(at):
                             copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
-                        out["id"].append(key)
-                        out["copy"].append(copy)
-                        out["length"].append(len(typed))
-                        out["at"].append(i)
-                        out["window"].append(int(w[i]) - 2**63)
-                        out["slots"].append(_slots(typed, plain, i, size))
-            if out["id"]:  # empty lists have no type
-                yield pd.DataFrame(out)
+                        for i in at.tolist():
+                            bare = reading == 1 and (kind[i:i + size] == 0).sum() < LITERALS
+                            if bare and bits is not None:
+                                continue
+                            out.append((key, copy, reading, len(ids), i, int(w[i]) - 2**63, bare,
+                                        template.slots(ids[i:i + size], kind[i:i + size])))
+            if out:  # empty lists have no type
+                yield pd.DataFrame(out, columns=names)
     return run
 
 
@@ -110,11 +136,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
             percent: int = PERCENT, slot_percent: int = SLOT_PERCENT) -> DataFrame:
     """doc_id, item_id, share, consistent: items whose templates stand in a document.
 
-    An item matches when one of its occurrences passes: at least ``percent`` of its distinct windows of
+    An item matches when one of its occurrences passes in one of the readings of ``Templates``: at least ``percent`` of its distinct windows of
     ``width`` template words are there, and at least ``slot_percent`` of its slot values always meet one and
     the same value there. An occurrence is what lies on one offset of item against document, what lies within
     one item length of offsets (two grids, half a length apart; a place of the item counts at its best
-    supported offset), or the whole document (an item in scattered parts). The figures are those of the
+    supported offset), or the whole document (an item in scattered parts). In reading 1 windows of fewer than
+    two words that are not typed count as not found: a row of names tells nothing. The figures are those of the
     passing occurrence with the largest share. Items shorter than the window match as a whole; null, empty or
     blank items match nothing, null and empty texts contain nothing; repeated rows of a document or item give
     one row per pair of ids, and different texts of one id are occurrences of their own.
@@ -128,7 +155,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     short = items.mapInPandas(_lengths, "n int").filter(f"n < {width} and n > 0").distinct()
     sizes = tuple(sorted({width} | {r[0] for r in short.collect()}))
     # a filter of fixed size (one bit per window hash, 1 MB), whatever the benchmark holds
-    spots = wanted.select(F.expr(
+    spots = wanted.filter("not bare").select(F.expr(
         f"pmod(window, {FILTER_BITS})").alias("spot"))
     mask = np.zeros(FILTER_BITS, np.uint8)
     mask[[r[0] for r in spots.distinct().collect()]] = 1
@@ -136,14 +163,14 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter(
         "doc_id is not null")
     found = materialise(rows.mapInPandas(
-        _emit("doc_id", width, mask, sizes), FOUND).drop("length").withColumnsRenamed(
+        _emit("doc_id", width, mask, sizes), FOUND).drop("length", "reading", "bare").withColumnsRenamed(
         {"id": "doc_id", "at": "doc_at", "slots": "doc_slots"}), "doc-windows")
-    grouped = wanted.groupBy("window").agg(F.collect_list(F.struct(
-        "item_id", "item_copy", "length", "at", "slots")).alias("items"))
+    grouped = wanted.filter("not bare").groupBy("window").agg(F.collect_list(F.struct(
+        "item_id", "item_copy", "reading", "length", "at", "slots")).alias("items"))
     counts = found.groupBy("window").agg(F.count(F.lit(1)).alias("n"))
     hits = hot_join(found, grouped, "window", counts, "inner").select(
         "doc_id", "copy", "doc_at", "window", "doc_slots", F.inline("items"))
-    item = ["item_id", "item_copy"]
+    item = ["item_id", "item_copy", "reading"]
     size = wanted.groupBy(*item).agg(F.countDistinct("window").alias("size"))
     # no occurrence has more windows of an item than its document has
     whole = materialise(hits.groupBy("doc_id", *item).agg(F.countDistinct("window").alias("both")).join(

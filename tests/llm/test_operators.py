@@ -113,6 +113,42 @@ def test_decontamination_by_occurrence(spark):
     assert _matched(spark, [(1, fill + " " + twice), (2, fill)], twice) == [1]
 
 
+def _typed(text, reading):
+    """Brute force of Templates."""
+    out, begins, counted = [], True, False
+    for raw in text.split():
+        low = decontamination._EDGE.sub("", raw).lower()
+        if low:
+            number = bool(decontamination._NUMBER.fullmatch(low))
+            upper = decontamination._EDGE.sub("", raw)[0].isupper()
+            named = upper and (reading == 1 or (reading == 0 and not begins))
+            out.append("<number>" if number else "<unit>" if counted and low in decontamination.UNITS
+                       else "<name>" if named else low)
+            counted, begins = number, raw[-1] in ".!?:"
+        else:
+            begins = begins or raw[-1] in ".!?:"
+    return out
+
+
+def test_decontamination_readings(spark):
+    item = ("Tom has 5 red apples and two pears. Tom buys 3 more apples from the shop. "
+            "Jill eats 2 of the apples for lunch. Tom gives the rest to an aunt.")
+    names = item.replace("Tom", "Lena").replace("Jill", "Omar").replace("5", "9")
+    texts = [(1, names), (2, "Intro here. " + names + " Outro."), (3, item.upper()), (4, item.lower()),
+             (5, item.upper().replace("5", "9")), (6, " ".join(["TEN BIG WORDS STAND HERE"] * 20)),
+             (7, "He has many other things and no fruit. " * 5), (8, "Intro: and " + item)]
+    assert _matched(spark, texts, item) == [1, 2, 3, 4, 5, 8]
+    for short in ("Hello World", "ANNA BOB CARL DORA EMIL FAY", "The Cat"):
+        assert _matched(spark, [(1, "Big Dog"), (2, "SOME OTHER WORDS IN CAPITALS. Grey Cat"),
+                                (3, "so " + short.lower())], short) == [3]
+    template = decontamination.Templates()
+    for text in (item, names.upper(), "- 5 km. ... Ann's 7 % :: (Bob) min 3 min\nÉva! ?", "... !", ""):
+        ids, kinds = template(text)
+        for reading in range(3):
+            assert [decontamination.KINDS[k] or template.low[i] for i, k in zip(
+                ids.tolist(), kinds[reading].tolist())] == _typed(text, reading)
+
+
 def test_index_round_trip(spark, docs, none, tmp_path):
     keys = np.unique(np.random.default_rng(2).integers(-2**62, 2**62, 3000))
     assert sorted(tokens.build_index(keys)[1].tolist()) == list(range(len(keys)))
