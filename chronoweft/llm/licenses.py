@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,7 +73,10 @@ def rules() -> list[tuple[str, str, str, int]]:
     return sorted(out, key=lambda r: (-r[3], r[2], r[1]))
 
 
-GATE = "licen|copyright|public domain|rights reserved|permission|redistribut|under the"
+# what stands, after a blank, wherever a rule matches: a piece of every use, the longest word of every notice
+GATE = " (?:" + "|".join([
+    "licen[sc]e", *[f"{how} under" for how in ("released", "distributed", "available", "published")],
+    *dict.fromkeys(max(re.findall("(?<![^ ])[a-z]+(?![^ ])", p), key=len) for p, _, _ in NOTICES)]) + ")"
 
 
 def _words(text: Column) -> Column:

@@ -1,5 +1,7 @@
 """Dealt operators on nulls, empties, repeats and clashing columns, and against brute force."""
 
+import re
+
 import numpy as np
 import pytest
 
@@ -67,6 +69,24 @@ def test_licences(docs, none):
     assert licenses.scan(none).count() == 0 and len(licenses.rules()) > 200
 
 
+def test_every_licence_rule_reaches_its_text(spark):
+    """The shortest text of every rule, whatever else it holds."""
+    def shortest(pattern):
+        pattern = pattern.replace("[sc]", "s").replace("[12][0-9]{3}", "1999")
+        while "(?:" in pattern:
+            pattern = re.sub(r"\(\?:[^()]*\)\?", "", pattern)
+            pattern = re.sub(r"\(\?:([^()|]*)[^()]*\)(?!\?)", r"\1", pattern)
+        return pattern
+
+    texts = [(i, shortest(p), label) for i, (_, p, label, _) in enumerate(licenses.rules())]
+    texts += [(1000 + i, text, label) for i, (text, label) in enumerate([
+        ("Released under MIT.", "mit"), ("available under GPL v3", "gpl"),
+        ("distributed under Apache 2.0", "apache"), ("Published under the terms of BSD 3-clause", "bsd")])]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string, want string")
+    for r in licenses.scan(docs).collect():
+        assert r.want in {h.label for h in r["_found"]}, r.text
+
+
 def test_toxicity_finds_the_sentence(spark):
     rows = [(i, "calm words here. " + ("you idiot there. " if i % 2 else "fine day now. ") + f"end {i}")
             for i in range(80)]
