@@ -226,3 +226,35 @@ def test_quotes(spark):
     assert [got[i].parent_turn for i in range(4)] == [None, 0, 1, None]
     assert [got[i].root_turn for i in range(4)] == [0, 0, 0, 3] and got[2].depth == 2
     assert got[2].text == "thanks" and got[None].n_quoted == 1
+
+
+def test_quoted_passages(spark):
+    long = "the boat leaves the old harbour at nine in the morning and returns before dark"
+    rows = [
+        (1, 0, f"Thanks\n{long}"), (1, 1, "thanks\nsomething else"),
+        (1, 2, "> thanks\n> " + long + "\nfine"),  # a common line and a long passage
+        (1, 3, ">> " + long[:30] + "\n>>" + long[30:] + "\nnested only, and wrapped"),
+        (1, 4, "> returns before dark\nwhen?"),  # part of a line
+        (1, 5, "> when?\n>> returns before dark\n>>> thanks\nat ten"),
+        (1, 6, "> nobody ever said such words here"), (1, 7, "thanks"), (1, 8, "> thanks")]
+    messages = spark.createDataFrame(rows, "conv_id bigint, turn bigint, text string").selectExpr(
+        "*", "'user' as role")
+    got = {r.turn: r.parent_turn for r in quotes.link(messages).collect()}
+    own = {t: [w for level, lines in quotes.passages(x) if level == 0 for v in lines for w in v]
+           for _, t, x in rows}
+
+    def shared(at, level, source):  # brute force: words of the longest quoted run that the source said
+        n = 0
+        for depth, lines in quotes.passages(dict((t, x) for _, t, x in rows)[at]):
+            asked = [w for v in lines for w in v]
+            for size in range(1, len(asked) + 1) if depth == level else ():
+                for i in range(len(asked) - size + 1):
+                    if any(own[source][k:k + size] == asked[i:i + size] for k in range(len(own[source]))):
+                        n = max(n, size)
+        return n
+
+    assert got == {0: None, 1: None, 2: 0, 3: 0, 4: 0, 5: 4, 6: None, 7: None, 8: 7}
+    links = {(r["at"], r["level"]): r["source"] for r in quotes.sources(messages).collect()}
+    assert links == {(2, 1): 0, (3, 2): 0, (4, 1): 0, (5, 1): 4, (5, 2): 0, (5, 3): 1, (8, 1): 7}
+    for (at, level), source in links.items():
+        assert shared(at, level, source) == max(shared(at, level, t) for t in range(at))
