@@ -1,6 +1,7 @@
 """Queries of this subpackage."""
 
 from chronoweft.llm import (  # noqa: F401
+    alignment,
     decontamination, embeddings, licenses, lm, minhash, packing, pii, quotes, tokens, toxicity,
 )
 from chronoweft.llm.common import ORACLES, QUERIES
