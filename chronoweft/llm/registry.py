@@ -2,7 +2,8 @@
 
 from chronoweft.llm import (  # noqa: F401
     alignment,
-    decontamination, embeddings, licenses, lm, minhash, packing, pii, quotes, tokens, toxicity,
+    decontamination, embeddings, licenses, lm, minhash, packing, pii, prefix_trie,
+    quotes, tokens, toxicity,
 )
 from chronoweft.llm.common import ORACLES, QUERIES
 
