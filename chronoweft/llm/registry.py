@@ -3,7 +3,7 @@
 from chronoweft.llm import (  # noqa: F401
     alignment,
     decontamination, embeddings, licenses, lm, minhash, packing, pii, prefix_trie,
-    quotes, tokens, toxicity,
+    quotes, tokens, top_inner, toxicity,
 )
 from chronoweft.llm.common import ORACLES, QUERIES
 
