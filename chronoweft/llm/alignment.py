@@ -19,7 +19,7 @@ from chronoweft.session import materialise
 BLOCK_CHARS, BLOCK_DOCS = 1 << 22, 1 << 13
 MEMO, MEMO_CHARS = 150_000, 64
 B_BITS = 15
-BLOCKS = ("block bigint, doc_id array<bigint>, n_a array<bigint>, n_b array<bigint>, "
+BLOCKS = ("block bigint, doc_id array<string>, n_a array<bigint>, n_b array<bigint>, "
           "n_groups array<bigint>, n_links array<bigint>, groups array<string>, stops array<bigint>, "
           "codes binary, times binary, pair array<int>, docs array<int>")
 # a blank or line feed between two visible characters: no token of either vocabulary reaches over it
@@ -166,7 +166,8 @@ def _blocks(path_a: str, path_b: str):
                  np.minimum(times, 2**32 - 1).astype("<u4").tobytes(), pair.astype(np.int32),
                  np.bincount(code, minlength=len(pair)).astype(np.int32)]
         big, small = pa.list_(pa.int64()), pa.list_(pa.int32())
-        types = [pa.int64(), big, big, big, big, big, pa.list_(pa.string()), big, pa.binary(),
+        text = pa.list_(pa.string())
+        types = [pa.int64(), text, big, big, big, big, text, big, pa.binary(),
                  pa.binary(), small, small]
         return pa.RecordBatch.from_arrays(
             [pa.array([c], t) for c, t in zip(cells, types)],
@@ -220,13 +221,12 @@ def _sums(blocks, totals):
 
     times = times.astype(np.int64)
     return pd.DataFrame({
-        "doc_id": pd.array([None if x is None or x != x else int(x) for x in row["doc_id"]], "Int64"),
-        **{c: row[c] for c in ("n_a", "n_b", "n_groups", "n_links")},
+        **{c: row[c] for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links")},
         "n_best": per_document(times * best[code]), "count_sum": per_document(times * total[code]),
         "groups_sha256": row["groups"]})
 
 
-RESULT = ("doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
+RESULT = ("doc_id string, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, "
           "count_sum bigint, groups_sha256 string")
 
 
@@ -240,7 +240,8 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
     are aligned whole. Totals are summed per block of documents before anything is shuffled, and every
     block gets back only the totals of its own pairs.
     """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    # ids travel as text: a bigint beside a null would pass through a float
+    rows = docs.select(F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), "text")
     blocks = materialise(rows.mapInArrow(_blocks(path_a, path_b), BLOCKS), "alignment")
     own = blocks.select("block", F.explode(F.arrays_zip("pair", "docs")).alias("x")).select(
         "block", "x.pair", "x.docs")
@@ -251,6 +252,7 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> tuple[DataFrame, DataFra
     back = own.select("block", "pair").join(
         pairs.select("pair", "total", "best"), "pair").withColumnRenamed("block", "of")
     result = blocks.groupBy("block").cogroup(back.groupBy("of")).applyInPandas(_sums, RESULT)
+    result = result.withColumn("doc_id", F.col("doc_id").cast("bigint"))
     return result, pairs.select("a", F.expr(f"pair & {(1 << B_BITS) - 1}").alias("b"), "total", "best")
 
 
