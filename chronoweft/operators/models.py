@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -12,6 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweft import settings
+from chronoweft.operators.calendar_splits import CalendarPlan, Fold, role_in
+
+FIT_ROWS = 200_000
 
 EstimatorFactory = Callable[[Sequence[str], int], Estimator]
 
@@ -62,7 +68,12 @@ def score(model: PipelineModel, rows: DataFrame,
 
 def fit(rows: DataFrame, features: Sequence[str], factory: EstimatorFactory,
         label: str = "label") -> PipelineModel | float:
-    """Fit on all given rows; a single class yields that class as a constant probability."""
+    """Fit on all given rows; a single class yields that class as a constant probability.
+
+    Row sampling of boosted trees draws by partition and place, so rows are first put where their values
+    say: the partition is a hash of the row, the order within it the row itself. Equal rows are
+    interchangeable. The number of partitions follows from the number of rows, not from the cluster.
+    """
     classes = {
         int(r[0]): r[1] for r in rows.groupBy(F.col(label)).count().limit(3).collect()
     }
@@ -70,8 +81,17 @@ def fit(rows: DataFrame, features: Sequence[str], factory: EstimatorFactory,
         raise ValueError("training labels must be 0 and 1")
     if len(classes) == 1:
         return float(next(iter(classes)))
+    n = sum(classes.values())
+    return factory(features, n).fit(ordered_rows(rows, features, label, n))
+
+
+def ordered_rows(rows: DataFrame, features: Sequence[str], label: str, n: int) -> DataFrame:
+    """Features and ``_y`` in partitions and an order that only the rows themselves decide."""
     train = rows.select(*features, F.col(label).cast("double").alias("_y"))
-    return factory(features, sum(classes.values())).fit(train)
+    names = train.columns
+    placed = train.withColumn("_place", F.xxhash64(*names))
+    return placed.repartition(-(-n // FIT_ROWS), "_place").sortWithinPartitions(
+        "_place", *names).drop("_place")
 
 
 def walk_forward(folds: DataFrame, features: Sequence[str], factory: EstimatorFactory, *,
@@ -79,27 +99,58 @@ def walk_forward(folds: DataFrame, features: Sequence[str], factory: EstimatorFa
                  threshold: float = settings.SIGNAL_THRESHOLD, label: str = "label") -> DataFrame:
     """Out-of-fold predictions: a fresh model per fold, fitted on its training rows only.
 
-    The loop is over the few folds; every fit is a distributed job. ``folds`` should be a written
+    Every fit is a distributed job. ``folds`` should be a written
     table or cached, since each fold reads it.
     """
-    parts = []
-    for fold in range(1, n_splits + 1):
-        train = folds.filter((F.col("fold") == fold) & (F.col("role") == "train"))
-        validation = folds.filter((F.col("fold") == fold) & (F.col("role") == "validation"))
-        model = fit(train, features, factory, label)
-        if isinstance(model, float):
-            scored = validation.withColumn("probability_score", F.lit(model)).withColumn(
-                "signal", (F.col("probability_score") >= threshold).cast("tinyint")
-            )
-        else:
-            scored = score(model, validation, threshold)
-        parts.append(scored.select(
-            *keep, "fold", F.col(label).alias("actual_label"), "probability_score", "signal"
-        ))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    def one(fold: int) -> DataFrame:
+        here = folds.filter(F.col("fold") == fold)
+        return _out_of_fold(here.filter(F.col("role") == "train"),
+                            here.filter(F.col("role") == "validation"),
+                            features, factory, keep, threshold, label)
+
+    return _together(one, range(1, n_splits + 1))
+
+
+def pooled_walk_forward(labeled: DataFrame, plan: CalendarPlan, features: Sequence[str],
+                        factory: EstimatorFactory, *, keep: Sequence[str],
+                        threshold: float = settings.SIGNAL_THRESHOLD,
+                        label: str = "label") -> DataFrame:
+    """Out-of-fold predictions of one model per fold over all series, along a common calendar.
+
+    Folds are conditions on a row's times, so ``labeled`` (a written table or cached) is filtered in
+    place and never copied per fold. A fold that the calendar has no room for raises.
+    """
+    for fold in plan.folds:
+        if not fold.possible:
+            raise ValueError(f"fold {fold.number} does not fit into {plan.instants} instants")
+
+    def one(fold: Fold) -> DataFrame:
+        rows = labeled.withColumn("fold", F.lit(fold.number))
+        role = role_in(plan, fold)
+        return _out_of_fold(rows.filter(role == "train"), rows.filter(role == "validation"),
+                            features, factory, keep, threshold, label)
+
+    return _together(one, plan.folds)
+
+
+def _together(one: Callable, folds: Sequence) -> DataFrame:
+    """Fit the few folds at the same time: small jobs of one fit leave most executors idle."""
+    with ThreadPoolExecutor(len(folds)) as pool:
+        parts = list(pool.map(inheritable_thread_target(SparkSession.active())(one), folds))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _out_of_fold(train: DataFrame, validation: DataFrame, features: Sequence[str],
+                 factory: EstimatorFactory, keep: Sequence[str], threshold: float,
+                 label: str) -> DataFrame:
+    model = fit(train, features, factory, label)
+    if isinstance(model, float):
+        scored = validation.withColumn("probability_score", F.lit(model)).withColumn(
+            "signal", (F.col("probability_score") >= threshold).cast("tinyint"))
+    else:
+        scored = score(model, validation, threshold)
+    return scored.select(
+        *keep, "fold", F.col(label).alias("actual_label"), "probability_score", "signal")
 
 
 def feature_importance(model: PipelineModel, features: Sequence[str]) -> DataFrame:
@@ -143,23 +194,20 @@ def feature_schema_hash(features: Sequence[str]) -> Column:
     return F.sha2(F.to_json(F.array(*[F.lit(c) for c in features])), 256)
 
 
-def ablation_cells(folds: DataFrame, technical: Sequence[str], news: Sequence[str],
-                   factories: dict[str, EstimatorFactory], *, keep: Sequence[str],
-                   n_splits: int = settings.N_WALK_FORWARD_SPLITS) -> DataFrame:
+def ablation_cells(labeled: DataFrame, plan: CalendarPlan, technical: Sequence[str],
+                   news: Sequence[str], factories: dict[str, EstimatorFactory], *,
+                   keep: Sequence[str]) -> DataFrame:
     """Out-of-fold predictions of every model with and without news columns.
 
-    All cells read the same written fold table, so rows, folds and labels are identical by
-    construction; :func:`cell_differences` proves it on the result.
+    All cells read the same written table along the same calendar, so rows, folds and labels are
+    identical by construction; :func:`cell_differences` proves it on the result.
     """
     cells = []
     for name, factory in factories.items():
         for inputs, columns in (("technical", technical), ("technical_news", [*technical, *news])):
-            cells.append(walk_forward(folds, columns, factory, keep=keep, n_splits=n_splits)
-                         .select(F.lit(name).alias("model"), F.lit(inputs).alias("inputs"), "*"))
-    out = cells[0]
-    for c in cells[1:]:
-        out = out.unionByName(c)
-    return out
+            cells.append(pooled_walk_forward(labeled, plan, columns, factory, keep=keep).select(
+                         F.lit(name).alias("model"), F.lit(inputs).alias("inputs"), "*"))
+    return reduce(DataFrame.unionByName, cells)
 
 
 def cell_differences(cells: DataFrame, keep: Sequence[str]) -> DataFrame:

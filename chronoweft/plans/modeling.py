@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from chronoweft import settings
+from chronoweft.operators import calendar_splits as cs
 from chronoweft.operators import classification as cl
 from chronoweft.operators import models as md
 from chronoweft.operators import splits as sp
@@ -19,6 +19,7 @@ from chronoweft.session import materialise, scratch_path
 from chronoweft.settings import IndicatorSpec
 from chronoweft.sources.candle_files import write_run_table
 
+ABLATION_TREES = 20
 METRICS = [
     "accuracy", "balanced_accuracy", "precision_class_1", "recall_class_1", "f1_class_1",
     "precision_class_0", "recall_class_0", "f1_class_0", "log_loss", "brier_score", "roc_auc",
@@ -132,37 +133,103 @@ def exact_quantiles_query(spark, sf):
                                 {"p05": 0.05, "median": 0.5, "p95": 0.95}), 4)
 
 
-def fold_table(spark, sf):
-    """Folds of the labeled feature table, written once and read by every fit."""
+CALENDAR_SQL = """
+cal AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS p, count(*) OVER () AS m
+        FROM (SELECT DISTINCT t FROM labeled)),
+cut AS (
+  SELECT hs, hs - 5 AS nd, greatest(1, floor((hs - 5) * 0.1)::BIGINT) AS sz
+  FROM (SELECT max(m) - greatest(1, ceil(max(m) * 0.2))::BIGINT AS hs FROM cal)),
+fold AS (
+  SELECT f AS fold, nd - sz * (6 - f) AS vs, sz, hs, nd FROM cut, (SELECT unnest(range(1, 6)) AS f)),
+fold_time AS (
+  SELECT fold, (SELECT t FROM cal WHERE p = vs - 5 AND vs - 5 > 0) AS t_train,
+         (SELECT t FROM cal WHERE p = vs AND vs - 5 > 0) AS t_start,
+         (SELECT t FROM cal WHERE p = vs + sz AND vs - 5 > 0) AS t_end,
+         (SELECT t FROM cal WHERE p = nd) AS t_purge, (SELECT t FROM cal WHERE p = hs) AS t_hold
+  FROM fold),
+pooled AS (
+  SELECT fold, symbol, t, t_exit, label,
+         CASE WHEN t >= t_purge OR t_exit >= t_hold THEN NULL
+              WHEN t < t_train AND t_exit < t_start THEN 'train'
+              WHEN t < t_start THEN 'gap' WHEN t < t_end THEN 'validation' END AS role
+  FROM fold_time LEFT JOIN labeled ON true)"""
+
+
+def labeled_features(spark, sf):
+    """Features and labels of all series, written once and read by every fit."""
     feats = technical_features(hourly(spark, sf), ["symbol"], chunk_rows=CHUNK)
-    rows = next_open_labels(feats, ["symbol"], chunk_rows=CHUNK)
-    split = sp.assign_partitions(rows, ["symbol"])
-    return materialise(sp.assign_folds(split, ["symbol"]), "folds")
+    return materialise(next_open_labels(feats, ["symbol"], chunk_rows=CHUNK), "labeled")
+
+
+@query("pooled_fold_leaks", f"""
+WITH {sql_candles()}, {LABELS_SQL}, {CALENDAR_SQL}
+SELECT fold::BIGINT AS fold, count(*) FILTER (WHERE role = 'train') AS train_rows,
+       count(*) FILTER (WHERE role = 'validation') AS validation_rows,
+       max(t_exit) FILTER (WHERE role = 'train') AS last_training_exit,
+       min(t) FILTER (WHERE role = 'validation') AS first_validation,
+       CASE WHEN count(*) FILTER (WHERE role = 'train') = 0
+              OR count(*) FILTER (WHERE role = 'validation') = 0 THEN 'insufficient_rows'
+            WHEN max(t_exit) FILTER (WHERE role = 'train') >=
+                 min(t) FILTER (WHERE role = 'validation') THEN 'label_leak' ELSE 'ok' END AS status
+FROM pooled GROUP BY 1""")
+def pooled_fold_leaks(spark, sf):
+    """Boundaries of every pooled fold over all series; training has ended before validation begins."""
+    rows = labeled(spark, sf)
+    return tidy(cs.pooled_leaks(rows, cs.calendar_plan(rows)))
+
+
+@query("pooled_fold_rows", f"""
+WITH {sql_candles()}, {LABELS_SQL}, {CALENDAR_SQL}
+SELECT symbol, fold::BIGINT AS fold, role, count(*) AS row_count, min(t) AS start_timestamp,
+       max(t) AS end_timestamp, max(t_exit) AS max_exit_timestamp, sum(label)::BIGINT AS positives
+FROM pooled WHERE role IS NOT NULL GROUP BY 1, 2, 3""")
+def pooled_fold_rows(spark, sf):
+    """What every series gives to each role of the pooled folds."""
+    rows = labeled(spark, sf)
+    folds = cs.calendar_folds(rows, cs.calendar_plan(rows))
+    return tidy(folds.groupBy("symbol", "fold", "role").agg(
+        F.count(F.lit(1)).alias("row_count"), F.min("timestamp").alias("start_timestamp"),
+        F.max("timestamp").alias("end_timestamp"),
+        F.max("exit_timestamp").alias("max_exit_timestamp"),
+        F.sum(F.col("label").cast("bigint")).alias("positives")))
+
+
+@query("fold_status", f"""
+WITH {sql_candles()}, {LABELS_SQL}, {SPLIT_SQL}
+SELECT symbol, f AS fold, greatest(0, vs - 5)::BIGINT AS train_rows,
+       CASE WHEN vs - 5 > 0 THEN 'ok' ELSE 'insufficient_rows' END AS status
+FROM (SELECT symbol, f::BIGINT AS f, nd - greatest(1, floor(nd * 0.1)::BIGINT) * (6 - f) AS vs
+      FROM (SELECT symbol, greatest(0, max(nd)) AS nd FROM split GROUP BY 1),
+           (SELECT unnest(range(1, 6)) AS f))""")
+def fold_status(spark, sf):
+    """Every planned fold of every series, those without room included."""
+    split = sp.assign_partitions(labeled(spark, sf), ["symbol"])
+    return tidy(cs.fold_status(split, ["symbol"]))
 
 
 @query("logistic_walk_forward", None)
 def logistic_walk_forward(spark, sf):
-    """Out-of-fold logistic probabilities; every fold has its own scaler and model."""
-    out = md.walk_forward(fold_table(spark, sf), IndicatorSpec().feature_columns,
-                          md.logistic_factory, keep=["symbol", "timestamp"])
-    return tidy(out)
+    """Out-of-fold logistic probabilities over all series; every fold has its own scaler and model."""
+    rows = labeled_features(spark, sf)
+    return tidy(md.pooled_walk_forward(rows, cs.calendar_plan(rows), IndicatorSpec().feature_columns,
+                                       md.logistic_factory, keep=["symbol", "timestamp"]))
 
 
 @query("boosted_walk_forward", None)
 def boosted_walk_forward(spark, sf):
-    """Out-of-fold boosted-tree probabilities (few trees, to bound the driver's fold loop)."""
-    out = md.walk_forward(fold_table(spark, sf), IndicatorSpec().feature_columns,
-                          md.boosted_factory(trees=8), keep=["symbol", "timestamp"])
-    return tidy(out)
+    """Out-of-fold boosted-tree probabilities over all series, 300 trees per fold."""
+    rows = labeled_features(spark, sf)
+    return tidy(md.pooled_walk_forward(rows, cs.calendar_plan(rows), IndicatorSpec().feature_columns,
+                                       md.boosted_factory(), keep=["symbol", "timestamp"]))
 
 
 @query("feature_importance", None)
 def feature_importance(spark, sf):
-    """Ten strongest features of a boosted model fitted on all labeled rows."""
+    """Ten strongest features of a boosted model fitted on all development rows."""
     columns = IndicatorSpec().feature_columns
-    rows = fold_table(spark, sf).filter((F.col("fold") == settings.N_WALK_FORWARD_SPLITS)
-                                        & (F.col("role") == "train"))
-    model = md.fit(rows, columns, md.boosted_factory(trees=8))
+    rows = labeled_features(spark, sf)
+    plan = cs.calendar_plan(rows)
+    model = md.fit(rows.filter(cs.partition_of(plan) == "development"), columns, md.boosted_factory())
     return tidy(md.top_features(md.feature_importance(model, columns)))
 
 
@@ -172,17 +239,16 @@ def holdout_scoring(spark, sf):
     from pyspark.ml import PipelineModel
 
     columns = IndicatorSpec().feature_columns
-    feats = technical_features(hourly(spark, sf), ["symbol"], chunk_rows=CHUNK)
-    split = materialise(sp.assign_partitions(
-        next_open_labels(feats, ["symbol"], chunk_rows=CHUNK), ["symbol"]), "split")
-    fitted = md.fit(split.filter(F.col("partition") == "development"), columns,
-                    md.logistic_factory)
+    rows = labeled_features(spark, sf)
+    part = cs.partition_of(cs.calendar_plan(rows))
+    fitted = md.fit(rows.filter(part == "development"), columns, md.logistic_factory)
     path = scratch_path(spark, "model")
     fitted.save(path)
-    scored = md.score(PipelineModel.load(path), split.filter(F.col("partition") == "holdout"))
-    write_run_table(scored.select("symbol", "timestamp", "label", "probability_score", "signal"),
-                    scratch_path(spark, "runs"), "holdout_scores", "run-1")
-    return tidy(scored.select("symbol", "timestamp", "label", "probability_score", "signal"))
+    scored = md.score(PipelineModel.load(path), rows.filter(part == "holdout")).select(
+        "symbol", "timestamp", "label", "probability_score", "signal")
+    root = scratch_path(spark, "runs")
+    write_run_table(scored, root, "holdout_scores", "run-1")
+    return tidy(scored)
 
 
 @query("ablation_cells", """
@@ -193,13 +259,14 @@ def ablation_cells(spark, sf):
     from chronoweft.operators.sentiment import NEWS_FEATURES, news_features
     from chronoweft.plans.news import versions_table
 
-    rows = fold_table(spark, sf).filter(F.col("symbol") == "ALL")
+    rows = labeled_features(spark, sf)
     decisions = rows.select(F.col("timestamp").alias("decision_at")).distinct()
     news = news_features(decisions, versions_table(spark, sf)).select(
         F.col("decision_at").alias("timestamp"),
         *[F.col(c).cast("double").alias(c) for c in NEWS_FEATURES])
     joined = materialise(rows.join(news, "timestamp", "left"), "cells")
     cells = md.ablation_cells(
-        joined, IndicatorSpec().feature_columns, NEWS_FEATURES,
-        {"boosted": md.boosted_factory(trees=2)}, keep=["symbol", "timestamp"], n_splits=2)
+        joined, cs.calendar_plan(joined), IndicatorSpec().feature_columns, NEWS_FEATURES,
+        {"logistic": md.logistic_factory, "boosted": md.boosted_factory(trees=ABLATION_TREES)},
+        keep=["symbol", "timestamp"])
     return tidy(md.cell_differences(materialise(cells, "predictions"), ["symbol", "timestamp"]))
