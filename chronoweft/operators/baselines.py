@@ -8,12 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweft import settings
-from chronoweft.functions.costs import scenario_table
 from chronoweft.operators.risk import strategy_metrics
 from chronoweft.operators.trades import (
-    equity_curve, evaluate, held_window_curve, marks, performance_windows,
+    evaluate, held_window_curve, performance_windows,
 )
-from chronoweft.operators.selection import select_non_overlapping
 
 
 def rule_scores(decisions: DataFrame, rules: dict[str, Column],
@@ -44,54 +42,6 @@ def uniform(seed: Column, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2 ** 52))
 
 
-def random_exposure_metrics(market: DataFrame, model_scores: DataFrame, scenario: DataFrame, *,
-                            keys: Sequence[str] = ("symbol",),
-                            horizon: int = settings.PREDICTION_HORIZON, timeframe: str = "1h",
-                            simulations: int = settings.RANDOM_BASELINE_SIMULATIONS,
-                            seed: int = settings.RANDOM_SEED,
-                            threshold: float = settings.SIGNAL_THRESHOLD,
-                            capital: float = settings.INITIAL_CAPITAL,
-                            chunk_rows: int = 16_384) -> DataFrame:
-    """Metric rows of ``simulations`` Bernoulli score sets at the model's signal rate.
-
-    All simulations are one job keyed by ``run_id``. Only drawn signals are materialised as rows;
-    the performance window is computed once, because every simulation shares the decisions. Both
-    inputs are spread over the configured shuffle partitions first: every one of their rows is about
-    to become ``simulations`` rows, and a small file must not make that one task's work.
-    """
-    keys = list(keys)
-    spark = market.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    market = market.select(*keys, "pos", "timestamp", "open").repartition(width, *keys, "pos")
-    model_scores = model_scores.select(*keys, "pos", "probability_score").repartition(
-        width, *keys, "pos")
-    runs = spark.range(simulations).select(F.col("id").alias("run_id"))
-    rate = model_scores.groupBy(*keys).agg(
-        F.avg((F.col("probability_score") >= threshold).cast("double")).alias("signal_probability")
-    )
-    lengths = market.groupBy(*keys).agg((F.max("pos") + 1).alias("n"))
-    window = performance_windows(model_scores, lengths, [], keys, horizon)
-    drawn = (
-        model_scores.select(*keys, "pos").join(rate, keys)
-        .join(window.select(*keys, "end_pos"), keys)
-        .filter(F.col("pos") + horizon + 1 <= F.col("end_pos"))
-        .crossJoin(F.broadcast(runs))
-        .filter(uniform(F.col("run_id") + seed, *[F.col(k) for k in keys], F.col("pos"))
-                < F.col("signal_probability"))
-        .select("run_id", *keys, "pos")
-    )
-    taken = select_non_overlapping(drawn, ["run_id", *keys], horizon).withColumnRenamed(
-        "pos", "signal_pos"
-    )
-    windows = window.crossJoin(F.broadcast(runs))
-    marked = marks(market, windows, taken, ["run_id"], keys, horizon, chunk_rows=chunk_rows)
-    curve = equity_curve(marked, scenario, ["run_id"], keys, horizon, capital=capital)
-    metrics = strategy_metrics(
-        curve, ["run_id"], keys, horizon, timeframe, capital=capital, median=False
-    )
-    return metrics.join(rate, keys)
-
-
 def random_exposure_summary(simulated: DataFrame, model_return: DataFrame,
                             keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Median, 5th and 95th percentile of three metrics, and the share that beats the model.
@@ -123,8 +73,7 @@ def cost_sensitivity(market: DataFrame, scores: DataFrame, scenarios: DataFrame,
     keys = options.get("keys", ("symbol",))
     horizon = options.get("horizon", settings.PREDICTION_HORIZON)
     curve, _ = evaluate(market, scores, scenarios, **options)
-    return strategy_metrics(curve, run_keys, keys, horizon, timeframe, scores=scores,
-                            median=False)
+    return strategy_metrics(curve, run_keys, keys, horizon, timeframe, scores=scores)
 
 
 def buy_and_hold(market: DataFrame, decisions: DataFrame, scenarios: DataFrame, *,

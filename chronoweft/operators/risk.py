@@ -112,6 +112,57 @@ def score_context(scores: DataFrame, ids: Sequence[str]) -> DataFrame:
     )
 
 
+def metric_columns(total: DataFrame, ids: Sequence[str], timeframe: str, *,
+                   capital: float = settings.INITIAL_CAPITAL, risk_free: float = 0.0) -> DataFrame:
+    """The metric row of every run from its sums of intervals and trades."""
+    ppy = float(YEAR_MILLISECONDS) / timeframe_ms(timeframe)
+    rf = (1.0 + risk_free) ** (1.0 / ppy) - 1.0
+    c = F.col
+    one = F.lit(1.0)
+    m = c("n_intervals")
+    mean = F.try_divide(c("_s1"), m)
+    variance = F.try_divide(F.greatest(c("_s2") - m * mean * mean, F.lit(0.0)), m - 1)
+    total = total.withColumns({
+        "_mu": mean, "_sigma": F.when(m > 1, F.sqrt(variance)),
+        "_dside": F.when(m > 1, F.sqrt(c("_down") / m)).otherwise(0.0),
+        "total_return": c("_final") / capital - 1.0,
+    }).withColumn(
+        "annualized_return",
+        F.when((m > 0) & (c("total_return") > -1.0),
+               F.pow(one + c("total_return"), F.lit(ppy) / m) - 1.0),
+    )
+    scale = F.lit(ppy ** 0.5)
+    nt = c("num_trades")
+    sharpe = F.when(c("_sigma") > 0, (c("_mu") - rf) / c("_sigma") * scale)
+    sortino = F.when(c("_dside") > 0, (c("_mu") - rf) / c("_dside") * scale)
+    return total.select(
+        *ids, "total_return", "annualized_return",
+        (c("_sigma") * scale).alias("annualized_volatility"),
+        sharpe.alias("sharpe_ratio"), sortino.alias("sortino_ratio"),
+        "maximum_drawdown", "maximum_drawdown_duration",
+        F.when(c("maximum_drawdown") < 0,
+               c("annualized_return") / F.abs(c("maximum_drawdown"))).alias("calmar_ratio"),
+        "num_trades", F.try_divide(c("_wins"), nt).alias("win_rate"),
+        F.try_divide(c("_rsum"), nt).alias("average_trade_return"),
+        F.try_divide(c("_wsum"), c("_wins")).alias("average_winning_return"),
+        F.try_divide(c("_lsum"), c("_loss")).alias("average_losing_return"),
+        "largest_winning_trade", "largest_losing_trade",
+        F.when(c("_dn") < 0, F.coalesce(c("_up"), F.lit(0.0)) / F.abs(c("_dn")))
+        .alias("profit_factor"),
+        F.coalesce(F.try_divide(c("_expo"), m), F.lit(0.0)).alias("market_exposure"),
+        F.coalesce(F.when(c("_avg_equity") > 0, c("_turn") / c("_avg_equity")), F.lit(0.0))
+        .alias("turnover"),
+        F.try_divide(c("_hold"), nt).alias("average_holding_period"),
+        F.coalesce(c("_cost"), F.lit(0.0)).alias("total_estimated_costs"),
+        "n_intervals",
+        F.array_compact(F.array(
+            F.when((nt > 0) & ~F.coalesce(c("_dn") < 0, F.lit(False)), NO_LOSS_WARNING),
+            F.when(sharpe.isNull(), SHARPE_WARNING),
+            F.when(sortino.isNull(), SORTINO_WARNING),
+        )).alias("warnings"),
+    )
+
+
 def strategy_metrics(curve: DataFrame, run_keys: Sequence[str], keys: Sequence[str], horizon: int,
                      timeframe: str, *, scores: DataFrame | None = None,
                      capital: float = settings.INITIAL_CAPITAL, risk_free: float = 0.0,
@@ -173,48 +224,7 @@ def strategy_metrics(curve: DataFrame, run_keys: Sequence[str], keys: Sequence[s
         F.max("_best").alias("largest_winning_trade"),
         F.min("_worst").alias("largest_losing_trade"),
     )
-    m = c("n_intervals")
-    mean = F.try_divide(c("_s1"), m)
-    variance = F.try_divide(F.greatest(c("_s2") - m * mean * mean, F.lit(0.0)), m - 1)
-    total = total.withColumns({
-        "_mu": mean, "_sigma": F.when(m > 1, F.sqrt(variance)),
-        "_dside": F.when(m > 1, F.sqrt(c("_down") / m)).otherwise(0.0),
-        "total_return": c("_final") / capital - 1.0,
-    }).withColumn(
-        "annualized_return",
-        F.when((m > 0) & (c("total_return") > -1.0),
-               F.pow(one + c("total_return"), F.lit(ppy) / m) - 1.0),
-    )
-    scale = F.lit(ppy ** 0.5)
-    nt = c("num_trades")
-    sharpe = F.when(c("_sigma") > 0, (c("_mu") - rf) / c("_sigma") * scale)
-    sortino = F.when(c("_dside") > 0, (c("_mu") - rf) / c("_dside") * scale)
-    out = total.select(
-        *ids, "total_return", "annualized_return",
-        (c("_sigma") * scale).alias("annualized_volatility"),
-        sharpe.alias("sharpe_ratio"), sortino.alias("sortino_ratio"),
-        "maximum_drawdown", "maximum_drawdown_duration",
-        F.when(c("maximum_drawdown") < 0,
-               c("annualized_return") / F.abs(c("maximum_drawdown"))).alias("calmar_ratio"),
-        "num_trades", F.try_divide(c("_wins"), nt).alias("win_rate"),
-        F.try_divide(c("_rsum"), nt).alias("average_trade_return"),
-        F.try_divide(c("_wsum"), c("_wins")).alias("average_winning_return"),
-        F.try_divide(c("_lsum"), c("_loss")).alias("average_losing_return"),
-        "largest_winning_trade", "largest_losing_trade",
-        F.when(c("_dn") < 0, F.coalesce(c("_up"), F.lit(0.0)) / F.abs(c("_dn")))
-        .alias("profit_factor"),
-        F.coalesce(F.try_divide(c("_expo"), m), F.lit(0.0)).alias("market_exposure"),
-        F.coalesce(F.when(c("_avg_equity") > 0, c("_turn") / c("_avg_equity")), F.lit(0.0))
-        .alias("turnover"),
-        F.try_divide(c("_hold"), nt).alias("average_holding_period"),
-        F.coalesce(c("_cost"), F.lit(0.0)).alias("total_estimated_costs"),
-        "n_intervals",
-        F.array_compact(F.array(
-            F.when((nt > 0) & ~F.coalesce(c("_dn") < 0, F.lit(False)), NO_LOSS_WARNING),
-            F.when(sharpe.isNull(), SHARPE_WARNING),
-            F.when(sortino.isNull(), SORTINO_WARNING),
-        )).alias("warnings"),
-    )
+    out = metric_columns(total, ids, timeframe, capital=capital, risk_free=risk_free)
     if median:
         per_trade = curve.filter(is_trade).select(*ids, ret.alias("_r"))
         out = out.join(

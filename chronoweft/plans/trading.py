@@ -12,6 +12,7 @@ from chronoweft.operators import trades as tr
 from chronoweft.operators.features import technical_features
 from chronoweft.operators.labels import next_open_labels
 from chronoweft.operators.positions import number_rows
+from chronoweft.operators.simulations import simulate
 from chronoweft.plans.common import (
     CHUNK, MONEY, hourly, numbered, pseudo_score, query, r, sql_candles, sql_score, tidy,
 )
@@ -243,13 +244,13 @@ def strategy_metrics(spark, sf):
 @query("cost_sensitivity", f"""
 WITH RECURSIVE {sql_candles(price=PRICE)}, {LABELS_SQL}, {SCORES_SQL}, {selection_sql()}, {SCEN}, {CURVE_SQL},
 {METRICS_SQL}
-SELECT run_id, scenario, symbol, {picked(RATIOS)} FROM metrics""")
+SELECT run_id, scenario, symbol, {picked([*RATIOS, 'median_trade_return'])} FROM metrics""")
 def cost_sensitivity(spark, sf):
     """One selection, three cost scenarios."""
     bars = market(spark, sf)
     out = bl.cost_sensitivity(bars, labeled_scores(bars), sensitivity_scenarios(spark), "1h",
                               chunk_rows=CHUNK)
-    return tidy(out.select("run_id", "scenario", "symbol", *RATIOS, *COUNTS))
+    return tidy(out.select("run_id", "scenario", "symbol", *RATIOS, "median_trade_return", *COUNTS))
 
 
 @query("buy_and_hold", f"""
@@ -320,39 +321,77 @@ def excess_returns(spark, sf):
     return tidy(bl.excess_returns(suite, ["symbol"]))
 
 
-SIMS = 40
-
-
-@query("random_exposure", f"""
-WITH RECURSIVE {sql_candles(price=PRICE)}, {LABELS_SQL},
+SIMS = settings.RANDOM_BASELINE_SIMULATIONS
+# the greedy rule as a fold over each run's signals, for many runs
+FOLDED_SELECTION_SQL = f"""
+win AS (
+  SELECT run_id, symbol, min(pos) + 1 AS sp, max(pos) FILTER (WHERE pos + {H + 1} < n) + {H + 1} AS ep
+  FROM scores GROUP BY 1, 2),
+sig AS (
+  SELECT s.run_id, s.symbol, list(pos ORDER BY pos) AS ps FROM scores s JOIN win USING (run_id, symbol)
+  WHERE p >= 0.5 AND pos + {H + 1} <= ep GROUP BY 1, 2),
+taken AS (
+  SELECT run_id, symbol, unnest(list_reduce(list_transform(ps, lambda x: [x]),
+    lambda a, x: CASE WHEN x[1] > a[-1] + {H} THEN a || x ELSE a END)) AS pos FROM sig),
+path AS (
+  SELECT w.run_id, w.symbol, m.pos, m.t, m.o, w.sp, w.ep
+  FROM win w JOIN candles m ON m.symbol = w.symbol AND m.pos BETWEEN w.sp - 1 AND w.ep),
+walk AS (
+  SELECT p.run_id, p.symbol, p.pos, coalesce(max(t.pos) OVER (
+    PARTITION BY p.run_id, p.symbol ORDER BY p.pos), -1000) AS last
+  FROM path p LEFT JOIN taken t ON t.run_id = p.run_id AND t.symbol = p.symbol AND t.pos = p.pos)"""
+# DuckDB multiplies a window's rows in no fixed order, so equal levels may differ in the last bit
+LEVEL_METRICS_SQL = METRICS_SQL.replace("lv < pk ", "lv < pk * (1 - 1e-12) ").replace(
+    "lv >= pk ", "lv >= pk * (1 - 1e-12) ")
+SIMULATED_SQL = f"""
 ms AS (SELECT symbol, pos, t, n, {sql_score()} AS mp FROM labeled),
 rate AS (SELECT symbol, avg((mp >= 0.5)::INT) AS q FROM ms GROUP BY 1),
 scores AS (
   SELECT (g.i)::BIGINT AS run_id, ms.symbol, pos, t, n,
     CASE WHEN ('0x' || substr(md5((g.i + 42) || '|' || ms.symbol || '|' || pos), 1, 13))::BIGINT
          / 4503599627370496.0 < q THEN 1.0 ELSE 0.0 END AS p
-  FROM ms JOIN rate USING (symbol), (SELECT unnest(range({SIMS})) AS i) g),
-{selection_sql()}, {SCEN_BASE}, {CURVE_SQL}, {METRICS_SQL}
-SELECT run_id, scenario, symbol, {picked(RATIOS)} FROM metrics""")
+  FROM ms JOIN rate USING (symbol), (SELECT unnest(range({SIMS})) AS i) g
+  UNION ALL SELECT -1, symbol, pos, t, n, mp FROM ms),
+{FOLDED_SELECTION_SQL}, {SCEN_BASE}, {CURVE_SQL}, {LEVEL_METRICS_SQL}"""
+
+
+@query("random_exposure", f"""
+WITH {sql_candles(price=PRICE)}, {LABELS_SQL}, {SIMULATED_SQL}
+SELECT run_id, scenario, symbol, {picked(RATIOS)} FROM metrics WHERE run_id >= 0""")
 def random_exposure(spark, sf):
-    """Bernoulli score sets at the model's signal rate, all simulations in one job."""
+    """Bernoulli score sets at the model's signal rate: 1 000 runs of every series in one job."""
     bars = market(spark, sf)
-    out = bl.random_exposure_metrics(
-        bars, labeled_scores(bars), scenario_table(spark, BASE), simulations=SIMS,
-        chunk_rows=1024)
+    out = simulate(bars, labeled_scores(bars), scenario_table(spark, BASE), simulations=SIMS,
+                   chunk_rows=CHUNK)
     return tidy(out.select("run_id", "scenario", "symbol", *RATIOS, *COUNTS))
 
 
-@query("random_exposure_summary", None)
+def _summary_sql() -> str:
+    cells = ", ".join(
+        f"{r(f'quantile_cont({c}, {q})', 4)} AS {c}_{name}"
+        for c in ("total_return", "sharpe_ratio", "maximum_drawdown")
+        for q, name in ((0.5, "median"), (0.05, "p05"), (0.95, "p95")))
+    return f"""
+SELECT s.symbol, count(*) AS simulations, {r('any_value(q)')} AS signal_probability,
+       {r('avg((s.total_return >= m.tr)::INT)')} AS fraction_return_at_least_model, {cells}
+FROM metrics s JOIN rate USING (symbol)
+JOIN (SELECT symbol, total_return AS tr FROM metrics WHERE run_id = -1) m USING (symbol)
+WHERE run_id >= 0 GROUP BY 1"""
+
+
+@query("random_exposure_summary", f"""
+WITH {sql_candles(price=PRICE)}, {LABELS_SQL}, {SIMULATED_SQL} {_summary_sql()}""")
 def random_exposure_summary(spark, sf):
     """Quantiles over 1 000 simulations against the model."""
     m = market(spark, sf)
     scores = labeled_scores(m)
     base = scenario_table(spark, BASE)
-    sims = bl.random_exposure_metrics(m, scores, base)
-    curve, _ = tr.evaluate(m, scores, base)
+    sims = simulate(m, scores, base, chunk_rows=CHUNK)
+    curve, _ = tr.evaluate(m, scores, base, chunk_rows=CHUNK)
     model = risk.strategy_metrics(curve, ["run_id"], ["symbol"], H, "1h", median=False)
-    return tidy(bl.random_exposure_summary(sims, model))
+    out = bl.random_exposure_summary(sims, model)
+    whole = [c for c in out.columns if c.split("_")[-1] in ("median", "p05", "p95")]
+    return tidy(out.withColumns({c: F.round(c, 4) for c in whole}))
 
 
 @query("drawdown_table", """
@@ -425,7 +464,7 @@ def holdout_evaluation(spark, sf):
     model = decisions.withColumn("run_id", F.lit("model"))
     suite = bl.strategy_suite(raw, decisions, base, "1m")
     costs = bl.cost_sensitivity(raw, model, sensitivity_scenarios(spark), "1m")
-    sims = bl.random_exposure_metrics(raw, model, base, timeframe="1m")
+    sims = simulate(raw, model, base, timeframe="1m", chunk_rows=1024)
     columns = ["run_id", "scenario", "symbol", *RATIOS, *COUNTS]
     parts = [
         suite.select(F.lit("strategy").alias("part"), *columns),
