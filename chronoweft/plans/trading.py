@@ -292,16 +292,35 @@ def suite_decisions(spark, sf):
         "return_24"), "decisions")
 
 
+HELD_SQL = """
+held0 AS (
+  SELECT 'buy_and_hold' AS run_id, s.scenario, c.symbol, c.pos, w.sp, w.ep, s.f, s.e, a.o AS p0, c.o AS o,
+    c.o / a.o * (1 - f) / (1 + e) * CASE WHEN c.pos = w.ep THEN (1 - e) * (1 - f) ELSE 1 END AS lv
+  FROM win w JOIN candles c ON c.symbol = w.symbol AND c.pos BETWEEN w.sp AND w.ep
+  JOIN candles a ON a.symbol = w.symbol AND a.pos = w.sp, scen s WHERE w.run_id = 'model'),
+held AS (
+  SELECT *, greatest(1, max(lv) OVER w) AS pk, CASE WHEN pos > sp THEN 1 END AS expo,
+    CASE WHEN pos = sp + 1 THEN lv - 1 WHEN pos > sp THEN lv / lag(lv) OVER w - 1 END AS ret
+  FROM held0 WINDOW w AS (PARTITION BY scenario, symbol ORDER BY pos)),
+marks AS (
+  SELECT run_id, scenario, symbol, pos, sp, lv, pk, ret, expo FROM curve
+  UNION ALL SELECT run_id, scenario, symbol, pos, sp, lv, pk, ret, expo FROM held),
+closed AS (
+  SELECT run_id, scenario, symbol, f, e, eb, ea, p0, p1, pos0, pos1 FROM trades
+  UNION ALL SELECT run_id, scenario, symbol, f, e, 10000, 10000 * lv, p0, o, sp, ep FROM held
+  WHERE pos = ep)"""
+SUITE_METRICS_SQL = METRICS_SQL.replace("FROM curve", "FROM marks").replace("FROM trades", "FROM closed")
+
+
 @query("strategy_suite", f"""
 WITH RECURSIVE {sql_candles(price=PRICE)}, {FEATURES_CTE}, {LABELS_SQL}, {SUITE_SCORES_SQL}, {selection_sql()},
-{SCEN_BASE}, {CURVE_SQL}, {METRICS_SQL}
+{SCEN_BASE}, {CURVE_SQL}, {HELD_SQL}, {SUITE_METRICS_SQL}
 SELECT run_id, scenario, symbol, {picked(RATIOS)} FROM metrics""")
 def strategy_suite(spark, sf):
-    """Model, cash, crossover and momentum on one window (holding is its own query)."""
+    """Model, cash, crossover, momentum and holding on one window."""
     raw, decisions = suite_decisions(spark, sf)
     out = bl.strategy_suite(raw, decisions, scenario_table(spark, BASE), "1h")
-    return tidy(out.filter(F.col("run_id") != "buy_and_hold").select(
-        "run_id", "scenario", "symbol", *RATIOS, *COUNTS))
+    return tidy(out.select("run_id", "scenario", "symbol", *RATIOS, *COUNTS))
 
 
 @query("excess_returns", f"""
