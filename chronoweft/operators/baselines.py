@@ -91,22 +91,28 @@ def buy_and_hold(market: DataFrame, decisions: DataFrame, scenarios: DataFrame,
 def strategy_suite(market: DataFrame, model_scores: DataFrame, scenario: DataFrame,
                    timeframe: str, *, keys: Sequence[str] = ("symbol",),
                    horizon: int = settings.PREDICTION_HORIZON,
-                   capital: float = settings.INITIAL_CAPITAL) -> DataFrame:
+                   capital: float = settings.INITIAL_CAPITAL,
+                   model_scenarios: DataFrame | None = None, median: bool = False) -> DataFrame:
     """Model, cash, crossover, momentum and buy-and-hold on one common window.
 
     Decision rows carry the features, so all rule runs and the model are one score table and one
-    evaluation. The curves are unioned before the metrics, which are computed once.
+    evaluation. The curves are unioned before the metrics, which are computed once. With
+    ``model_scenarios`` the same evaluation also gives the model's rows under those costs.
     """
     keys = list(keys)
     columns = ["run_id", *keys, "pos", "timestamp", "probability_score"]
     model = model_scores.withColumn("run_id", F.lit("model")).select(*columns)
     rules = rule_scores(model_scores, standard_rules()).select(*columns)
     scores = model.unionByName(rules)
-    curve, _ = evaluate(market, scores, scenario, keys=keys, horizon=horizon, capital=capital)
+    costs = scenario if model_scenarios is None else scenario.union(model_scenarios).distinct()
+    curve, _ = evaluate(market, scores, costs, keys=keys, horizon=horizon, capital=capital)
+    if model_scenarios is not None:
+        wanted = F.col("scenario").isin([r["scenario"] for r in scenario.collect()])
+        curve = curve.filter(wanted | (F.col("run_id") == "model"))
     held, _ = buy_and_hold(market, model_scores, scenario, keys=keys, horizon=horizon,
                            capital=capital)
     return strategy_metrics(curve.unionByName(held), ["run_id"], keys, horizon, timeframe,
-                            capital=capital, median=False)
+                            capital=capital, median=median)
 
 
 def excess_returns(metrics: DataFrame, keys: Sequence[str], model: str = "model",

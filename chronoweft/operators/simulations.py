@@ -231,11 +231,15 @@ def simulate(market: DataFrame, model_scores: DataFrame, scenario: DataFrame, *,
             f.split(" ")[0]: found[f.split(" ")[0]] for f in WALKED.split(", ")[1:]}})
 
     group = [*keys, CHUNK]
+    # a chunk is little data and much work: keep as many partitions as there are chunks
+    wide = min(2 * chunks.select(*group).distinct().count() + 1, 100_000)
+    chunks = chunks.repartition(wide, *group)
     maps = materialise(chunks.groupBy(*group).applyInPandas(
         mapped, f"{place}, drawn binary, state binary, growth binary, high binary"), "card-maps")
     starts = maps.repartition(*keys).sortWithinPartitions(*group).mapInPandas(
         carried, f"{place}, drawn binary, state binary, level binary, peak binary")
-    renamed = starts.select(*[F.col(k).alias(f"of_{k}") for k in group], "drawn", "state", "level", "peak")
+    renamed = starts.select(*[F.col(k).alias(f"of_{k}") for k in group], "drawn", "state", "level", "peak"
+                            ).repartition(wide, *[f"of_{k}" for k in group])
     done = materialise(chunks.groupBy(*group).cogroup(renamed.groupBy(
         *[f"of_{k}" for k in group])).applyInPandas(walked, f"{place}, {WALKED}"), "walked")
     return _metrics(done, windows, keys, horizon, name, timeframe, capital)

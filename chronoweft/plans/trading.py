@@ -480,15 +480,13 @@ def holdout_evaluation(spark, sf):
         pseudo_score().alias("probability_score"), "label", "ema_short", "ema_long",
         "return_24"), "holdout")
     base = scenario_table(spark, BASE)
-    model = decisions.withColumn("run_id", F.lit("model"))
-    suite = bl.strategy_suite(raw, decisions, base, "1m")
-    costs = bl.cost_sensitivity(raw, model, sensitivity_scenarios(spark), "1m")
-    sims = simulate(raw, model, base, timeframe="1m", chunk_rows=1024)
     columns = ["run_id", "scenario", "symbol", *RATIOS, *COUNTS]
-    parts = [
-        suite.select(F.lit("strategy").alias("part"), *columns),
-        costs.select(F.lit("cost_sensitivity").alias("part"), *columns),
+    suite = bl.strategy_suite(raw, decisions, base, "1m",
+                              model_scenarios=sensitivity_scenarios(spark)).select(*columns)
+    sims = simulate(raw, decisions, base, timeframe="1m", chunk_rows=1024)
+    priced = F.when(F.col("run_id") != "model", F.array(F.lit("strategy"))).when(
+        F.col("scenario") == "base", F.array(F.lit("strategy"), F.lit("cost_sensitivity"))
+    ).otherwise(F.array(F.lit("cost_sensitivity")))
+    return tidy(suite.select(F.explode(priced).alias("part"), *columns).unionByName(
         sims.withColumn("run_id", F.concat(F.lit("random-"), F.col("run_id")))
-        .select(F.lit("random").alias("part"), *columns),
-    ]
-    return tidy(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+        .select(F.lit("random").alias("part"), *columns)))
