@@ -576,6 +576,20 @@ def decisions_touching_gaps(spark, sf):
     return tidy(cv.decisions_touching_gaps(decisions, gaps, window_hours=2))
 
 
+@query("gap_contact", f"""
+WITH {PLAN_SQL},
+d AS (SELECT DISTINCT epoch_us(ts) // 60000000 * 60000000 AS t FROM events)
+SELECT t AS decision_at FROM d
+WHERE EXISTS (SELECT 1 FROM gaps WHERE s * 60000000 <= t AND e * 60000000 > t - 24 * 3600000000)""")
+def gap_contact(spark, sf):
+    """Minute decisions whose 24-hour window meets a gap of any length."""
+    plan, snaps, evidence = schedule(spark, sf)
+    states = cv.interval_states(plan, snaps, evidence, ts(AS_OF)).filter(F.col("state") == "gap")
+    decisions = table(spark, sf, "events").select(
+        F.date_trunc("minute", "ts").alias("decision_at")).distinct()
+    return tidy(cv.decisions_touching_gaps(decisions, cv.gap_ranges(states)))
+
+
 @query("retry_decisions", """
 WITH x AS (
   SELECT event_type, 1 + user_id % 4 AS a, CASE event_type WHEN 'click' THEN 200 WHEN 'view' THEN 404
