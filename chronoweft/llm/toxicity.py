@@ -7,7 +7,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,36 +67,41 @@ class Sentences:
         kept = (pairs >> BITS)[begins]
         return np.array(owner, np.int64)[kept], np.cumsum(begins) - 1, (pairs & low) - 1
 
-    def __call__(self, text: str | None) -> list[list[int]]:
+    def flat(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Features per sentence and all features in sentence order."""
         owner, sentence, feature = self.arrays([text])
-        cuts = np.searchsorted(sentence, np.arange(1, len(owner)))
-        return [x.tolist() for x in np.split(feature, cuts)] if len(owner) else []
+        return np.bincount(sentence, minlength=len(owner)), feature
 
 
-def fit(bags: list[list[list[int]]], labels: np.ndarray, rounds: int = 300, rate: float = 0.15,
+def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, rate: float = 0.15,
         decay: float = 1e-5, least_share: float = 0.005) -> np.ndarray:
     """Sentence weights (last entry: bias) by gradient ascent on P(doc) = 1 - prod(1 - p_sentence).
 
-    Features of fewer than ``least_share`` of the bags, or of fewer than three, keep weight 0. One class alone, or no bag, gives a constant.
+    A bag is the lengths of its sentences and their features, one after the other. Features of fewer than
+    ``least_share`` of the bags, or of fewer than three, keep weight 0. One class alone, or no bag, gives a constant.
     """
     w = np.zeros(FEATURES + 1)
     w[-1] = -6.0
     y = np.asarray(labels, float)
     if len(y) == 0 or y.min() == y.max():
         return w
-    doc = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
-    sent = np.repeat(np.arange(len(doc)), [len(s) for b in bags for s in b])
-    feat = np.array([f for b in bags for s in b for f in s], np.int64)
-    seen = np.bincount(np.unique(doc[sent] * (FEATURES + 1) + feat) % (FEATURES + 1),
-                       minlength=FEATURES + 1)
-    hits = np.bincount(np.unique((doc[sent] * (FEATURES + 1) + feat)[y[doc[sent]] > 0])
-                       % (FEATURES + 1), minlength=FEATURES + 1)
+    seen, hits = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, np.int64)
+    for (_, features), positive in zip(bags, y > 0):
+        own = np.unique(features)
+        seen[own] += 1
+        hits[own] += positive
     live = seen >= max(3, least_share * len(bags))
+    doc, sent, feat, n = [], [], [], 0
+    for at, (lengths, features) in enumerate(bags):
+        kept = live[features]
+        doc.append(np.full(len(lengths), at))
+        sent.append((np.repeat(np.arange(len(lengths)), lengths) + n)[kept])
+        feat.append(features[kept].astype(np.int64))
+        n += len(lengths)
+    doc, sent, feat = np.concatenate(doc), np.concatenate(sent), np.concatenate(feat)
     prior = y.mean()
     lift = np.log((hits + 20 * prior) / (seen + 20) / prior)
     w[:-1] = np.where(live, np.clip(lift, -1, 3), 0)[:-1]
-    keep = live[feat]
-    sent, feat = sent[keep], feat[keep]
     m, v = np.zeros_like(w), np.zeros_like(w)
     for i in range(1, rounds + 1):
         z = np.bincount(sent, w[feat], minlength=len(doc)) + w[-1]
@@ -126,16 +131,23 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             "doc_id").limit(sample_rows // 2))
     picked = part[0].union(part[1])
 
-    def bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Flat arrays as bytes: a list of lists would cost the driver many times their size."""
         read = Sentences()
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"],
-                                "bag": [read(t) for t in b["text"]]})
+            flat = [read.flat(t) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), b.column("toxic"),
+                 *[pa.array([x[k].astype("<i4").tobytes() for x in flat], pa.binary()) for k in (0, 1)]],
+                names=["doc_id", "toxic", "lengths", "features"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").mapInPandas(
-        bags, "doc_id bigint, toxic int, bag array<array<int>>").collect()
-    rows.sort(key=lambda r: (r[0], len(r[2])))
-    return fit([r[2] for r in rows], np.array([r[1] for r in rows]))
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(
+        F.broadcast(picked.select(F.col("doc_id").cast("bigint").alias("doc_id"),
+                                  F.col("toxic").cast("int").alias("toxic"))), "doc_id").mapInArrow(
+        bags, "doc_id bigint, toxic int, lengths binary, features binary").collect()
+    rows.sort(key=lambda r: (r[0], len(r[2]), r[2], r[3]))
+    return fit([(np.frombuffer(r[2], "<i4"), np.frombuffer(r[3], "<i4")) for r in rows],
+               np.array([r[1] for r in rows]))
 
 
 def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -145,28 +157,28 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """
     w = weights.astype(np.float64)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Sentences()
         for b in batches:
-            total, worst, best = noisy_or(read, b["text"].tolist(), w)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": total,
-                                "worst_sentence": pd.array(worst, "Int64"), "worst_score": best})
+            total, worst, best = noisy_or(read, b.column("text").to_pylist(), w)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(total), pa.array(worst, pa.int64()), pa.array(best)],
+                names=["doc_id", "score", "worst_sentence", "worst_score"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInPandas(
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
         run, "doc_id bigint, score double, worst_sentence bigint, worst_score double")
 
 
 def keep_clean(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose text scores below ``threshold``, scored in place."""
     w = weights.astype(np.float64)
-    names = docs.columns
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Sentences()
         for b in batches:
-            yield b.loc[noisy_or(read, b["text"].tolist(), w)[0] < threshold, names]
+            yield b.filter(pa.array(noisy_or(read, b.column("text").to_pylist(), w)[0] < threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def noisy_or(read: Sentences, texts: list[str | None],
