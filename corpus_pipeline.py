@@ -20,11 +20,15 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of every near-duplicate group."""
+    """The smallest document of every near-duplicate group.
+
+    Rows that repeat an id and its text count once. Different texts under one id all stay while any of them
+    is kept; rows without an id stay.
+    """
     tune(spark)
     found = minhash.near_duplicates(docs.select("doc_id", "text"))
-    drop = found.filter("not kept").select("doc_id").distinct()
-    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(
+    drop = found.groupBy("doc_id").agg(F.max("kept").alias("kept")).filter("not kept").select("doc_id")
+    one = docs.filter("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(
         docs.filter("doc_id is null"))
     return one.join(drop, "doc_id", "left_anti").select(*docs.columns)
 
