@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,8 +20,11 @@ from chronoweft.session import scratch_path
 END_ID = 0
 SHARD_IDS, SHARD_DOCS = 1 << 19, 1 << 12
 NO_KEY = -(1 << 63)
-SHARD = ("part int, seq int, first_id bigint, n_docs bigint, n_ids bigint, levels array<binary>, "
-         "prints binary, entries binary, offsets binary, keys binary, payload binary")
+MEMO, MEMO_CHARS, TEXTS = 400_000, 64, 256
+SHARD = ("part int, seq int, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, before bigint, "
+         "levels array<binary>, prints binary, entries binary, offsets binary, keys binary, payload binary")
+# a blank or line feed between two visible characters always starts a pre-token
+_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -67,34 +72,81 @@ class Index:
         self.offsets = np.frombuffer(row["offsets"], "<u8")
         self.payload = row["payload"]
 
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Slot of every key, -1 where the key is absent."""
+        slot = np.full(len(keys), -1)
+        rest = np.arange(len(keys))
+        for level, (bits, rank) in enumerate(self.levels):
+            at = _level(keys[rest], level, len(bits))
+            hit = bits[at]
+            slot[rest[hit]] = rank[at[hit]]
+            rest = rest[~hit]
+            if not len(rest):
+                break
+        known = np.flatnonzero(slot >= 0)
+        wrong = self.prints[slot[known]] != fingerprint(keys[known])
+        slot[known[wrong]] = -1
+        return slot
+
     def find(self, key: int) -> list[tuple[int, bytes]]:
         """(first id within the shard, raw ids) of every document with the key; [] if absent."""
-        one = np.array([key], np.int64)
-        for level, (bits, rank) in enumerate(self.levels):
-            at = _level(one, level, len(bits))[0]
-            if bits[at]:
-                slot = int(rank[at])
-                if self.prints[slot] != fingerprint(one)[0]:
-                    return []
-                first, n = self.entries[slot].tolist()
-                return [(int(a), self.payload[4 * int(a):4 * int(b)]) for a, b in zip(
-                    self.offsets[first:first + n], self.offsets[first + 1:first + n + 1])]
-        return []
+        slot = int(self.slots(np.array([key], np.int64))[0])
+        return [] if slot < 0 else self.at(slot)
 
+    def at(self, slot: int) -> list[tuple[int, bytes]]:
+        first, n = self.entries[slot].tolist()
+        edges = self.offsets[first:first + n + 1].tolist()
+        return [(a, self.payload[4 * a:4 * b]) for a, b in zip(edges, edges[1:])]
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True  # their strings in a text are ordinary text
-    return made
+class Encoder:
+    """Ids of whole texts as raw bytes, with a memo of two generations for repeated stretches.
+
+    Texts are cut where a pre-token starts in any case, so the ids of the stretches in a row are the ids
+    of the text. Stretches over ``MEMO_CHARS`` are encoded each time.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
+        self.model = Tokenizer.from_file(path)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, parts: list[str]) -> list[bytes]:
+        return [np.array(c.ids, "<u4").tobytes()
+                for c in self.model.encode_batch(parts, add_special_tokens=False)]
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        if len(self.young) > MEMO:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        split = [_BREAK.split(text) for text in texts]
+        missing = []
+        for p in {p for parts in split for p in parts}.difference(young):
+            if p in old:
+                young[p] = old[p]
+            else:
+                missing.append(p)
+        found = dict(zip(missing, self._encode(missing)))
+        young.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
+        longer = {p: ids for p, ids in found.items() if len(p) > MEMO_CHARS}
+        return [b"".join([longer[p] if len(p) > MEMO_CHARS else young[p] for p in parts])
+                for parts in split]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 def _shards(path: str, end_id: int, shard_ids: int, shard_docs: int):
-    def pack(seq: int, keys: list[int], parts: list[np.ndarray]) -> pd.DataFrame:
+    end = np.array([end_id], "<u4").tobytes()
+
+    def pack(seq: int, before: int, keys: list[int], parts: list[bytes]) -> pd.DataFrame:
         key = np.array(keys, np.int64)
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype("<u8")
+        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype("<u8")
         distinct, first, n = np.unique(key, return_index=True, return_counts=True)
         levels, slot = build_index(distinct)
         prints, entries = np.empty(len(slot), "<u4"), np.empty((len(slot), 2), "<u4")
@@ -102,27 +154,27 @@ def _shards(path: str, end_id: int, shard_ids: int, shard_docs: int):
         entries[slot] = np.stack([first, n], axis=1)
         return pd.DataFrame([{
             "part": TaskContext.get().partitionId(), "seq": seq, "first_id": keys[0],
-            "n_docs": len(keys), "n_ids": int(offsets[-1]), "levels": levels,
-            "prints": prints.tobytes(), "entries": entries.tobytes(), "offsets": offsets.tobytes(),
-            "keys": key.astype("<i8").tobytes(), "payload": np.concatenate(parts).tobytes()}])
+            "last_id": keys[-1], "n_docs": len(keys), "n_ids": int(offsets[-1]), "before": before,
+            "levels": levels, "prints": prints.tobytes(), "entries": entries.tobytes(),
+            "offsets": offsets.tobytes(), "keys": key.astype("<i8").tobytes(),
+            "payload": b"".join(parts)}])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = _tokenizer(path).encode_batch
-        seq, held, keys, parts = 0, 0, [], []
+        encode = encoder(path).documents
+        seq, before, held, keys, parts = 0, 0, 0, [], []
         for batch in batches:
             texts = batch["text"].fillna("").tolist()
             ids_ = batch["doc_id"].tolist()
-            for at in range(0, len(texts), 64):
-                coded = encode(texts[at:at + 64], add_special_tokens=False)
-                for k, c in zip(ids_[at:at + 64], coded):
-                    if keys and k != keys[-1] and (held >= shard_ids or len(keys) >= shard_docs):
-                        yield pack(seq, keys, parts)
-                        seq, held, keys, parts = seq + 1, 0, [], []
+            for at in range(0, len(texts), TEXTS):
+                for k, raw in zip(ids_[at:at + TEXTS], encode(texts[at:at + TEXTS])):
+                    if held >= shard_ids or len(keys) >= shard_docs:
+                        yield pack(seq, before, keys, parts)
+                        seq, before, held, keys, parts = seq + 1, before + held, 0, [], []
                     keys.append(k)
-                    parts.append(np.array(c.ids + [end_id], "<u4"))
-                    held += len(parts[-1])
+                    parts.append(raw + end)
+                    held += len(raw) // 4 + 1
         if keys:
-            yield pack(seq, keys, parts)
+            yield pack(seq, before, keys, parts)
     return run
 
 
@@ -130,38 +182,62 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
               shard_ids: int = SHARD_IDS, shard_docs: int = SHARD_DOCS) -> None:
     """Write shards in ascending doc_id order.
 
-    A shard is one row: raw little-endian unsigned 32-bit ids, offsets, and a minimal perfect hash
-    with a 32-bit fingerprint per key. Null and empty texts are their end id alone; a null doc_id sorts
-    first under the key -2**63; rows with one id stand together under one key. Other columns are ignored.
+    A shard is one row: raw little-endian unsigned 32-bit ids, offsets, a minimal perfect hash with a
+    32-bit fingerprint per key, its smallest and largest key, and the ids before it in its partition.
+    Null and empty texts are their end id alone; a null doc_id sorts first under the key -2**63; rows
+    with one id follow each other in the order of a hash of the text, over several shards and
+    partitions if they are many. Other columns are ignored.
     """
     spark = docs.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("doc_id"),
-                       "text")
-    rows = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInPandas(_shards(tokenizer, end_id, shard_ids, shard_docs), SHARD).write.parquet(path)
+                       "text", F.xxhash64("text").alias("_h"))
+    rows = rows.repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
+    rows.select("doc_id", "text").mapInPandas(
+        _shards(tokenizer, end_id, shard_ids, shard_docs), SHARD).write.parquet(path)
+
+
+def _bases(shards: DataFrame) -> DataFrame:
+    """Ids before every written partition: at most one row per partition of the writing job."""
+    return shards.groupBy("part").agg(F.sum("n_ids").alias("_n")).select("part", (
+        F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("base"))
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32, ids (raw bytes), looked up by key in every shard."""
+def read_ids(spark, path: str, raw: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and, if ``raw``, the ids, looked up by key in every shard.
+
+    A shard's payload is never shuffled: only one number per written partition is broadcast.
+    """
     shards = spark.read.schema(SHARD).parquet(path)
-    order = Window.orderBy("first_id", "part", "seq")
-    base = shards.select("part", "seq", "first_id", "n_ids").withColumn(
-        "base", F.sum("n_ids").over(order) - F.col("n_ids")).select("part", "seq", "base")
+    columns = ["doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if raw else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for _, row in batch.iterrows():
-                index, out = Index(row), []
-                for key in np.unique(np.frombuffer(row["keys"], "<i8")).tolist():
-                    for at, raw in index.find(key):
-                        out.append((None if key == NO_KEY else key, int(row["base"]) + at,
-                                    len(raw) // 4, zlib.crc32(raw), raw))
-                yield pd.DataFrame(out, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"]
-                                   ).astype({"doc_id": "Int64"})
-
-    return shards.join(base, ["part", "seq"]).mapInPandas(
-        run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
+            for row in batch.to_dict("records"):
+                index, out, first = Index(row), [], row["base"] + row["before"]
+                keys = np.unique(np.frombuffer(row["keys"], "<i8"))
+                for key, slot in zip(keys.tolist(), index.slots(keys).tolist()):
+                    for at, ids in index.at(slot):
+                        out.append((None if key == NO_KEY else key, first + at, len(ids) // 4,
+                                    zlib.crc32(ids), *([ids] if raw else [])))
+                made = pd.DataFrame(out, columns=columns)
+                # through Python integers: a null beside them must not turn keys into floats
+                made["doc_id"] = pd.array([o[0] for o in out], dtype="Int64")
+                yield made
+
+    schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
+    return shards.drop("seq", "first_id", "last_id", "n_docs", "n_ids").join(
+        F.broadcast(_bases(shards)), "part").mapInPandas(run, schema + ", ids binary" * raw)
+
+
+def lookup(spark, path: str, key: int) -> list[bytes]:
+    """Raw ids of every document with ``key``, in order of writing.
+
+    The key ranges of the shards are the directory: only shards that may hold the key are read.
+    """
+    shards = spark.read.schema(SHARD).parquet(path).filter(
+        (F.col("first_id") <= key) & (F.col("last_id") >= key)).orderBy("part", "seq")
+    return [ids for row in shards.toLocalIterator() for _, ids in Index(row).find(key)]
 
 
 @query("op4_tokens")
@@ -172,4 +248,4 @@ def op4(spark, sf_dir):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
     write_ids(table(spark, sf_dir, "documents"), path,
               public_tokenizers.path("byte_bpe_50k.json"))
-    return read_ids(spark, path).drop("ids")
+    return read_ids(spark, path, raw=False)

@@ -1,6 +1,7 @@
 """Dealt operators on nulls, empties, repeats and clashing columns, and against brute force."""
 
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -181,6 +182,43 @@ def test_index_round_trip(spark, docs, none, tmp_path):
         assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
 
 
+def test_ids_equal_a_fresh_encoding(spark, tmp_path):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    bits = [*"ab1.'s \n\t\r", "  ", "\u00a0", "\u3000", "\u00e9", "\U0001f600", "\x1c", "\x85",
+            "<|endoftext|>", "\u4e2d", "x" * 70]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(bits, n)) for n in rng.integers(0, 40, 1500)]
+    texts += ["x <|endoftext|> y", "", None, "word " * 40_000]
+    made = tokens.Encoder(public.path("byte_bpe_50k.json")).documents([t or "" for t in texts])
+    for text, raw in zip(texts, made):
+        assert np.frombuffer(raw, "<u4").tolist() == model.encode(
+            text or "", add_special_tokens=False).ids
+    big = 2**53 + 1
+    rows = [(i, t) for i, t in enumerate(texts)] + [(big, "one"), (None, "two"), (None, "three")]
+    rows += [(7, f"copy {i % 3}") for i in range(300)]
+    path = f"file:{tmp_path}/ids"
+    tokens.write_ids(spark.createDataFrame(rows, "doc_id bigint, text string"), path,
+                     public.path("byte_bpe_50k.json"), shard_docs=50)
+    got = tokens.read_ids(spark, path).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, None, *sorted(i for i, _ in rows if i is not None)]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got[:-1]]]).tolist()
+    want = {}
+    for i, t in rows:
+        ids = np.array([*model.encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
+        want.setdefault(i, []).append(ids)
+    have = {}
+    for r in got:
+        assert r.ids_crc32 == zlib.crc32(r.ids) and r.n_tokens == len(r.ids) // 4
+        have.setdefault(r.doc_id, []).append(bytes(r.ids))
+    assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sorted(map(bytes, tokens.lookup(spark, path, 7))) == sorted(want[7])
+    assert tokens.lookup(spark, path, big) == want[big]
+    assert tokens.lookup(spark, path, 10**6) == []
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 16))
