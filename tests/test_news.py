@@ -269,3 +269,62 @@ def test_stream_equals_batch_and_refuses_regress(spark, tmp_path):
         run_available(spark, f"file:{folder}", f"file:{tmp_path}/ck", target)
     assert store.read("articles").count() == 6
     assert issubclass(ContractViolation, ValueError)
+
+
+def test_a_batch_is_visible_only_with_its_marker(spark, tmp_path, monkeypatch):
+    folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
+    folder.mkdir()
+    target = SnapshotNormaliser(store, published)
+    write(folder, "20260101010000", [snapshot_line(0)])
+    run_available(spark, f"file:{folder}", f"file:{tmp_path}/ck", target)
+    whole, done = NewsStore.write, []
+
+    def dies(self, name, batch_id, df):
+        if len(done) == 3:
+            raise RuntimeError("executor gone")
+        done.append(name)
+        whole(self, name, batch_id, df)
+
+    write(folder, "20260101010100", [snapshot_line(1)])
+    monkeypatch.setattr(NewsStore, "write", dies)
+    with pytest.raises(Exception, match="executor gone"):
+        run_available(spark, f"file:{folder}", f"file:{tmp_path}/ck", target)
+    assert [store.read(n).count() for n in ("articles", "links", "ledger")] == [2, 2, 1]
+    monkeypatch.setattr(NewsStore, "write", whole)
+    run_available(spark, f"file:{folder}", f"file:{tmp_path}/ck", target)
+    assert [store.read(n).count() for n in ("articles", "links", "ledger")] == [4, 4, 2]
+    # a committed batch that is handed over again is left alone; other files under its id are refused
+    files = spark.read.format("binaryFile").load(f"file:{folder}/20260101010100.jsonl.gz")
+    monkeypatch.setattr(NewsStore, "write", dies)
+    target(files, 1)
+    with pytest.raises(ContractViolation, match="other files"):
+        target(spark.read.format("binaryFile").load(f"file:{folder}"), 1)
+
+
+def test_batches_must_be_terminal(spark, tmp_path):
+    folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
+    folder.mkdir()
+    minute = pd.Timestamp("2026-01-01 01:01:00")
+    none = spark.createDataFrame([], "minute timestamp, disposition string")
+    proof = spark.createDataFrame([(minute.to_pydatetime(), "retry_exhausted")], none.schema)
+
+    def run(evidence, **more):
+        run_available(spark, f"file:{folder}", f"file:{tmp_path}/ck", SnapshotNormaliser(
+            store, published, evidence=evidence, **more))
+
+    early = F.lit("2026-01-01 01:05:00").cast("timestamp")
+    late = F.lit("2026-01-02 00:00:00").cast("timestamp")
+    write(folder, "20260101010000", [snapshot_line(0)])
+    with pytest.raises(Exception, match="not due"):
+        run(none, as_of=early)
+    run(none, as_of=late)
+    write(folder, "20260101010200", [snapshot_line(2)])
+    run(none, as_of=late, record_refusals=True)
+    last = store.commits().orderBy(F.desc("batch_id")).first()
+    assert last.outcome == "refused" and last.reason.startswith("minutes lack")
+    assert store.read("articles").count() == 2
+    (folder / "again").mkdir()
+    write(folder / "again", "20260101010200", [snapshot_line(2)])
+    run(proof, as_of=late)
+    assert store.read("articles").count() == 4
+    assert sorted(r.state for r in store.read("ledger").collect()) == ["complete", "complete", "gap"]
