@@ -88,14 +88,13 @@ def _bollinger_columns(keys, spec) -> dict[str, Column]:
 def technical_features(df: DataFrame, keys: Sequence[str] = ("symbol",),
                        spec: IndicatorSpec = IndicatorSpec(), *,
                        chunk_rows: int = DEFAULT_CHUNK_ROWS,
-                       positioned: bool = False, keep_warmup: bool = False,
-                       exact_warmup: bool = False) -> DataFrame:
+                       positioned: bool = False, keep_warmup: bool = False) -> DataFrame:
     """Candles plus the 24 features, without the leading rows that lack history.
 
     A row that is incomplete *after* the first complete row stays in the output with nulls; it is a
-    contract violation that :func:`incomplete_after_warmup` lists. Leading rows are found in the
-    first chunk of a series, in the same pass; ``exact_warmup`` also covers a series without one
-    complete row in its whole first chunk, at the price of a second pass.
+    contract violation that :func:`incomplete_after_warmup` lists. Leading rows end at the first
+    complete position of the whole series, whatever ``chunk_rows`` is: one aggregate row per series is
+    joined back. A series without a complete row has no output.
     """
     require_columns(reject_future_columns(df), [*keys, *CANDLE_COLUMNS])
     keys = list(keys)
@@ -178,15 +177,7 @@ def technical_features(df: DataFrame, keys: Sequence[str] = ("symbol",),
     )
     if keep_warmup:
         return out.drop(CHUNK)
-    if exact_warmup:
-        return trim_warmup(out.drop(CHUNK), keys, columns)
-    seen = F.max(is_complete(columns)).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    return (
-        out.filter(pos >= spec.minimum_rows - 1)
-        .withColumn("_seen", seen | (F.col(CHUNK) > 0)).filter("_seen").drop("_seen", CHUNK)
-    )
+    return trim_warmup(out.drop(CHUNK), keys, columns)
 
 
 def is_complete(columns: Sequence[str]) -> Column:

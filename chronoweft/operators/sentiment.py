@@ -4,7 +4,8 @@ A duplicate group enters the window by its first-seen time and shows, at every d
 version of its anchor known by then. Every group version is therefore visible on one time interval;
 it is cut to the hours of that interval (at most 25) and meets decisions by hour. Decisions are few,
 so the join is usually a broadcast that AQE chooses by size, and sums are formed per decision and
-source before anything is shuffled.
+source before anything is shuffled. Spread is summed in a second pass about each source's own mean and
+merged as (weight, mean, squared deviations), so it keeps its digits on scores far from zero.
 """
 
 from __future__ import annotations
@@ -31,18 +32,16 @@ def visible_versions(versions: DataFrame, keys: Sequence[str] = (), *,
     """Interval ``[visible_from, visible_to)`` of every anchor version within its window.
 
     ``versions``: ``(keys…, group_id, group_first_seen, version_first_seen, source, state,
-    sentiment, relevance)``. Revisions inside one minute collapse to the last, so that a group
-    revised without end holds at most one row per minute of its window.
+    sentiment, relevance)``. Every revision counts from its own microsecond on; of several rows of one
+    anchor at one instant the largest by state, sentiment and relevance stands.
     """
     keys = list(keys)
     ids = [*keys, "group_id"]
     g, v = F.unix_micros("group_first_seen"), F.unix_micros("version_first_seen")
     end = g + F.lit(window_hours * HOUR_US)
-    minute = F.ceil(v / F.lit(60_000_000)).cast("long")
-    kept = versions.filter(v < end).groupBy(*ids, minute.alias("_m")).agg(
-        F.max_by(F.struct("group_first_seen", "version_first_seen", "source", "state",
-                          "sentiment", "relevance"), "version_first_seen").alias("_v")
-    ).select(*ids, "_v.*")
+    kept = versions.filter(v < end).groupBy(*ids, "version_first_seen").agg(
+        F.max(F.struct("state", "sentiment", "relevance", "source", "group_first_seen")).alias("_v")
+    ).select(*ids, "version_first_seen", "_v.*")
     following = F.lead(v, 1).over(Window.partitionBy(*ids).orderBy("version_first_seen"))
     return kept.withColumns({
         "visible_from": v, "visible_to": F.least(F.coalesce(following, end), end),
@@ -64,9 +63,13 @@ def _contributions(visible: DataFrame, decisions: DataFrame, keys: list[str],
     ).withColumn("_age", (F.col("_t") - F.unix_micros("group_first_seen")) / float(HOUR_US))
 
 
+def _valid() -> Column:
+    return (F.col("state") == "succeeded") & (F.col("relevance") >= settings.RELEVANCE_FLOOR)
+
+
 def _partials() -> dict[str, Column]:
     s, r, age = F.col("sentiment"), F.col("relevance"), F.col("_age")
-    valid = (F.col("state") == "succeeded") & (r >= settings.RELEVANCE_FLOOR)
+    valid = _valid()
     failed = F.coalesce(F.col("state") != "succeeded", F.lit(True))
 
     def total(value: Column, when: Column) -> Column:
@@ -85,7 +88,6 @@ def _partials() -> dict[str, Column]:
         out[f"_f{w}"] = F.count_if(failed & (age < w))
     out["_pos"] = total(r, valid & (s > settings.SENTIMENT_NEUTRAL))
     out["_neg"] = total(r, valid & (s < -settings.SENTIMENT_NEUTRAL))
-    out["_rss"] = total(r * s * s, valid)
     return out
 
 
@@ -94,7 +96,7 @@ def _finish(df: DataFrame, others: list[str]) -> DataFrame:
         return F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0))
 
     mean = ratio("_rs24", "_r24")
-    spread = F.sqrt(F.greatest(ratio("_rss", "_r24") - mean * mean, F.lit(0.0)))
+    spread = F.sqrt(F.greatest(ratio("_m2", "_r24"), F.lit(0.0)))
     n24 = F.coalesce("_n24", F.lit(0))
     return df.select(
         *others, ratio("_rs6", "_r6").alias("sentiment_mean_6h"),
@@ -114,58 +116,101 @@ def _finish(df: DataFrame, others: list[str]) -> DataFrame:
     )
 
 
-def _per_source(decisions, versions, keys, ts):
-    rows = _contributions(visible_versions(versions, keys), decisions, keys, ts)
-    return rows.groupBy(*keys, ts, "source").agg(
-        *[c.alias(n) for n, c in _partials().items()])
+UNITS = {"source": "source", "group": "group_id",
+         "day": "date_format(timestamp_micros(unix_micros(group_first_seen)), 'yyyy-MM-dd')"}
+_SUMS = ["_n1", "_n6", "_n24", *[f"_{n}{w}" for w in (6, 24) for n in ("r", "rs", "d", "ds", "f")],
+         "_pos", "_neg"]
+
+
+def _mean() -> Column:
+    return F.coalesce(F.try_divide("_rs24", "_r24"), F.lit(0.0))
+
 
+def _cells(decisions: DataFrame, versions: DataFrame, keys: list[str], ts: str,
+           unit: Column) -> DataFrame:
+    """Partial sums per decision, unit and source, with squared deviations from the cell's mean."""
+    rows = _contributions(visible_versions(versions, keys), decisions, keys, ts).withColumn(
+        "_unit", unit)
+    ids = [*keys, ts, "_unit", "source"]
+    sums = rows.groupBy(*ids).agg(*[c.alias(n) for n, c in _partials().items()])
+    centres = sums.filter("_r24 > 0").select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(ids)],
+                                             _mean().alias("_centre"))
+    same = F.lit(True)
+    for i, c in enumerate(ids):
+        same = same & F.col(f"_c{i}").eqNullSafe(F.col(c))
+    off = F.col("sentiment") - F.col("_centre")
+    spread = rows.filter(_valid()).join(centres, same).groupBy(*ids).agg(
+        F.sum(F.col("relevance") * off * off).alias("_m2"))
+    wide = spread.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(ids)], "_m2")
+    return sums.join(wide, same, "left").select(*sums.columns, F.coalesce("_m2", F.lit(0.0)).alias("_m2"))
 
-def _combine(per_source: DataFrame, keys: list[str], ts: str) -> DataFrame:
-    names = [n for n in _partials() if n != "_latest"]
-    return per_source.groupBy(*keys, ts).agg(
-        F.min("_latest").alias("_latest"), *[F.sum(n).alias(n) for n in names],
-        F.count_if(F.col("_n24") > 0).alias("_sources"))
+
+def _merge(cells: DataFrame, by: list[str], *more: Column) -> DataFrame:
+    """Sums of cells; squared deviations by the weights and means of the parts."""
+    over = Window.partitionBy(*by)
+    centre = F.coalesce(F.try_divide(F.sum("_rs24").over(over), F.sum("_r24").over(over)), F.lit(0.0))
+    off = _mean() - F.col("_centre")
+    return cells.withColumn("_centre", centre).withColumn(
+        "_m2", F.col("_m2") + F.col("_r24") * off * off
+    ).groupBy(*by).agg(F.min("_latest").alias("_latest"),
+                       *[F.sum(n).alias(n) for n in [*_SUMS, "_m2"]], *more)
 
 
 def news_features(decisions: DataFrame, versions: DataFrame, keys: Sequence[str] = (), *,
                   ts: str = "decision_at") -> DataFrame:
     """The 13 features and the failure diagnostics of every decision; no row is ever lost."""
     keys = list(keys)
-    sums = _combine(_per_source(decisions, versions, keys, ts), keys, ts)
+    cells = _cells(decisions, versions, keys, ts, F.lit("all"))
+    sums = _merge(cells, [*keys, ts], F.count_if(F.col("_n24") > 0).alias("_sources"))
     return _finish(decisions.join(sums, [*keys, ts], "left"), decisions.columns)
 
 
-def leave_one_source_out(decisions: DataFrame, versions: DataFrame, keys: Sequence[str] = (), *,
-                         ts: str = "decision_at") -> DataFrame:
-    """Features of each decision without each source that was present in its window.
+def leave_one_out(decisions: DataFrame, versions: DataFrame, unit: str, keys: Sequence[str] = (), *,
+                  ts: str = "decision_at") -> DataFrame:
+    """All features of each decision without each unit (source, day or group) present in its window.
 
-    Sums without a source are the total minus that source, so no pairs of sources are formed;
-    decisions that did not see a source are unchanged by its removal and are not repeated.
+    What is left is the merge of the units before and after the removed one in a fixed order: two
+    running windows per decision, no pairs of units, and no sum is taken off another. A decision that
+    did not see a unit is unchanged by its removal and not repeated. Spread inside a unit is exact;
+    between units it is summed about the mean of the decision.
     """
     keys = list(keys)
-    per_source = _per_source(decisions, versions, keys, ts)
-    total = _combine(per_source, keys, ts)
-    nearest = per_source.groupBy(*keys, ts).agg(
-        F.min_by("source", F.struct("_latest", "source")).alias("_near"))
-    second = per_source.join(nearest, [*keys, ts]).filter("source <> _near").groupBy(
-        *keys, ts).agg(F.min("_latest").alias("_second"))
-    names = [n for n in _partials() if n != "_latest"]
-    whole = total.select(*keys, ts, *[F.col(n).alias(f"_w{n}") for n in [*names, "_latest"]],
-                         F.col("_sources").alias("_all"))
-    joined = (
-        per_source.join(whole, [*keys, ts]).join(nearest, [*keys, ts])
-        .join(second, [*keys, ts], "left")
-    )
-    own = F.when(F.col("source") == F.col("_near"), F.col("_second")).otherwise(
-        F.col("_w_latest"))
-    exact = {f"_n{w}" for w in (1, 6, 24)} | {f"_f{w}" for w in (6, 24)}
-    rest = joined.select(
-        *keys, ts, F.col("source").alias("removed_source"), own.alias("_latest"),
-        (F.col("_all") - (F.col("_n24") > 0).cast("int")).alias("_sources"),
-        *[(F.col(f"_w{n}") - F.col(n)).alias(n) if n in exact else
-          F.round(F.col(f"_w{n}") - F.col(n), 12).alias(n) for n in names],
-    )
-    return _finish(rest, [*keys, ts, "removed_source"])
+    by = [*keys, ts]
+    cells = _cells(decisions, versions, keys, ts, F.expr(UNITS[unit]))
+    shared = F.count(F.lit(1)).over(Window.partitionBy(*by, "source"))
+    units = _merge(cells.withColumn("_only", (shared == 1).cast("int")), [*by, "_unit"],
+                   F.sum("_only").alias("_only"))
+    whole = Window.partitionBy(*by)
+    # a source counts once, with the first unit that holds it
+    first = F.row_number().over(Window.partitionBy(*by, "source").orderBy("_unit")) == 1
+    sources = cells.withColumn("_first", first).groupBy(*by).agg(
+        F.count_if("_first").alias("_all"))
+    centre = F.coalesce(F.try_divide(F.sum("_rs24").over(whole), F.sum("_r24").over(whole)),
+                        F.lit(0.0))
+    shift = F.col("_r24") * (_mean() - F.col("_centre"))
+    prepared = units.withColumn("_centre", centre).withColumns({
+        "_s1": shift, "_s2": shift * (_mean() - F.col("_centre"))})
+    before = Window.partitionBy(*by).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*by).orderBy(F.desc("_unit")).rowsBetween(
+        Window.unboundedPreceding, -1)
+    added = [*_SUMS, "_m2", "_s1", "_s2"]
+    rest = prepared.select(
+        *by, F.col("_unit").alias("removed"), "_only",
+        F.least(F.min("_latest").over(before), F.min("_latest").over(after)).alias("_latest"),
+        *[(F.coalesce(F.sum(n).over(before), F.lit(0)) + F.coalesce(F.sum(n).over(after), F.lit(0)))
+          .alias(n) for n in added])
+    between = F.col("_s2") - F.coalesce(F.try_divide(F.col("_s1") * F.col("_s1"), F.col("_r24")),
+                                        F.lit(0.0))
+    merged = rest.withColumn("_m2", F.col("_m2") + F.greatest(between, F.lit(0.0))).join(
+        sources, by).withColumn("_sources", F.col("_all") - F.col("_only"))
+    return _finish(merged, [*by, "removed"])
+
+
+def leave_one_source_out(decisions: DataFrame, versions: DataFrame, keys: Sequence[str] = (), *,
+                         ts: str = "decision_at") -> DataFrame:
+    """Features of each decision without each source that was present in its window."""
+    return leave_one_out(decisions, versions, "source", keys, ts=ts).withColumnRenamed(
+        "removed", "removed_source")
 
 
 def drop_gap_decisions(decisions: DataFrame, touched: DataFrame, keys: Sequence[str] = (), *,
@@ -174,10 +219,19 @@ def drop_gap_decisions(decisions: DataFrame, touched: DataFrame, keys: Sequence[
     return decisions.join(touched.select(*keys, ts), [*keys, ts], "left_anti")
 
 
-def missingness_cube(features: DataFrame, dimensions: Sequence[Column]) -> DataFrame:
-    """Missing-news share over each dimension and overall."""
-    return features.rollup(*dimensions).agg(
-        F.count(F.lit(1)).alias("decisions"),
+def missingness_cube(features: DataFrame, dimensions: Sequence[str],
+                     sets: Sequence[Sequence[str]] | None = None) -> DataFrame:
+    """Missing-news and failure shares over grouping sets: every margin and crossing by default.
+
+    ``level`` names the dimensions of a row, so that a null dimension and a margin stay apart.
+    """
+    level = F.concat_ws(",", *[
+        F.when(F.grouping(d) == 0, F.lit(d)) for d in dimensions])
+    names = list(dimensions)
+    grouped = features.cube(*names) if sets is None else features.groupingSets(
+        [[F.col(c) for c in one] for one in sets], *[F.col(c) for c in names])
+    return grouped.agg(
+        level.alias("level"), F.count(F.lit(1)).alias("decisions"),
         F.avg(F.col("news_missing_24h").cast("double")).alias("missing_rate"),
         F.avg(F.col("scoring_failure_rate_24h")).alias("failure_rate"),
     )

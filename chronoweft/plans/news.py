@@ -497,17 +497,19 @@ AS_OF = "2024-01-30 00:00:00"
 
 
 @query("retrieval_plan", """
-SELECT epoch_us(TIMESTAMP '2024-01-01') + i * 60000000 AS minute,
-       epoch_us(TIMESTAMP '2024-01-01') + (i + 30) * 60000000 AS due_at,
-       strftime(make_timestamp(epoch_us(TIMESTAMP '2024-01-01') + i * 60000000), '%Y%m%d%H%M%S') || '.jsonl.gz'
-         AS expected_name
-FROM (SELECT unnest(range((SELECT least(10080, count(*)) FROM documents))) AS i)""")
+WITH w AS (SELECT epoch_us(ts) // 604800000000 AS week, min(epoch_us(ts) // 60000000) AS lo,
+  max(epoch_us(ts) // 60000000) AS hi FROM events WHERE ts IS NOT NULL GROUP BY 1),
+m AS (SELECT week, unnest(range(lo, hi + 1)) AS i FROM w)
+SELECT week, i * 60000000 AS minute, (i + 30) * 60000000 AS due_at,
+  strftime(make_timestamp(i * 60000000), '%Y%m%d%H%M%S') || '.jsonl.gz' AS expected_name FROM m""")
 def retrieval_plan(spark, sf):
-    """Minute schedule as long as the document table (at most a week)."""
-    n = min(settings.MAX_PLAN_INTERVALS, table(spark, sf, "documents").count())
-    end = f"timestamp '{EPOCH}' + make_interval(0, 0, 0, 0, 0, {n})"
-    stop = spark.range(1).select(F.expr(end).cast("string")).first()[0]
-    return tidy(cv.retrieval_plan(spark, EPOCH, stop))
+    """One plan a week from its first to its last event; a week is the longest plan allowed."""
+    micros = F.unix_micros("ts")
+    bounds = table(spark, sf, "events").filter("ts is not null").groupBy(
+        F.floor(micros / F.lit(7 * 24 * HOUR)).cast("long").alias("week")).agg(
+        F.date_trunc("minute", F.min("ts")).alias("start"),
+        (F.date_trunc("minute", F.max("ts")) + F.expr("INTERVAL 1 MINUTE")).alias("end"))
+    return tidy(cv.retrieval_plans(bounds, ["week"]))
 
 
 @query("interval_states", f"""
@@ -832,9 +834,7 @@ agg AS (
   FROM w JOIN mu USING (t) GROUP BY 1)"""
 
 
-@query("news_features", f"""
-WITH {NEWS_SQL}
-SELECT t AS decision_at, {r('coalesce(m6, 0)')} AS sentiment_mean_6h, {r('coalesce(m24, 0)')} AS sentiment_mean_24h,
+FEATURES_SQL = f"""{r('coalesce(m6, 0)')} AS sentiment_mean_6h, {r('coalesce(m24, 0)')} AS sentiment_mean_24h,
   coalesce(n1, 0) AS news_count_1h, coalesce(n6, 0) AS news_count_6h, coalesce(n24, 0) AS news_count_24h,
   {r('coalesce(r6, 0)')} AS sentiment_recency_6h, {r('coalesce(r24, 0)')} AS sentiment_recency_24h,
   {r('coalesce(p24, 0)')} AS positive_share_24h, {r('coalesce(g24, 0)')} AS negative_share_24h,
@@ -842,43 +842,76 @@ SELECT t AS decision_at, {r('coalesce(m6, 0)')} AS sentiment_mean_6h, {r('coales
   {r('least(24.0, coalesce(latest, 24.0))')} AS hours_since_latest_article,
   (coalesce(n24, 0) = 0)::INT::BIGINT AS news_missing_24h, coalesce(f6, 0) AS scoring_failure_count_6h,
   coalesce(f24, 0) AS scoring_failure_count_24h, {r('coalesce(f6 / nullif(n6, 0)::DOUBLE, 0)')} AS scoring_failure_rate_6h,
-  {r('coalesce(f24 / nullif(n24, 0)::DOUBLE, 0)')} AS scoring_failure_rate_24h
+  {r('coalesce(f24 / nullif(n24, 0)::DOUBLE, 0)')} AS scoring_failure_rate_24h"""
+
+
+@query("news_features", f"""
+WITH {NEWS_SQL}
+SELECT t AS decision_at, {FEATURES_SQL}
 FROM dec LEFT JOIN agg USING (t)""")
 def news_features(spark, sf):
     """Point-in-time news features of hourly decisions."""
     return tidy(sn.news_features(decisions_table(spark, sf), versions_table(spark, sf)))
 
 
-@query("leave_one_source_out", f"""
+def _left_out_sql(unit: str, name: str = "removed") -> str:
+    return f"""
 WITH {NEWS_SQL},
-pair AS (SELECT DISTINCT t, src AS removed FROM w),
-o AS (SELECT p.t, p.removed, count(a) AS n24, count(*) FILTER (WHERE a < 6) AS n6,
-        coalesce(sum(q * s) / nullif(sum(q), 0), 0) AS m24, count(DISTINCT src) AS sc, min(a) AS latest
-      FROM pair p LEFT JOIN w ON w.t = p.t AND w.src <> p.removed GROUP BY 1, 2)
-SELECT t AS decision_at, removed AS removed_source, n24 AS news_count_24h, n6 AS news_count_6h,
-  {r('m24')} AS sentiment_mean_24h, sc AS source_count_24h,
-  {r('least(24.0, coalesce(latest, 24.0))')} AS hours_since_latest_article FROM o""")
+u AS (SELECT *, {unit} AS unit FROM w),
+pair AS (SELECT DISTINCT t, unit AS removed FROM u),
+x AS (SELECT p.t, p.removed, u.src, u.a, u.q, u.s, u.ok FROM pair p LEFT JOIN u ON u.t = p.t AND u.unit <> p.removed),
+m AS (SELECT t, removed, CASE WHEN sum(q) > 0 THEN sum(q * s) / sum(q) ELSE 0 END AS m24 FROM x GROUP BY 1, 2),
+o AS (
+  SELECT t, removed, count(a) FILTER (WHERE a < 1) AS n1, count(a) FILTER (WHERE a < 6) AS n6, count(a) AS n24,
+    coalesce(sum(q * s) FILTER (WHERE a < 6) / nullif(sum(q) FILTER (WHERE a < 6), 0), 0) AS m6, any_value(m24) AS m24,
+    coalesce(sum(q * pow(2, -a / 6) * s) FILTER (WHERE a < 6) / nullif(sum(q * pow(2, -a / 6)) FILTER (WHERE a < 6), 0), 0) AS r6,
+    coalesce(sum(q * pow(2, -a / 24) * s) / nullif(sum(q * pow(2, -a / 24)), 0), 0) AS r24,
+    coalesce(sum(q) FILTER (WHERE s > 0.2) / nullif(sum(q), 0), 0) AS p24,
+    coalesce(sum(q) FILTER (WHERE s < -0.2) / nullif(sum(q), 0), 0) AS g24,
+    coalesce(sqrt(sum(q * (s - m24) * (s - m24)) / nullif(sum(q), 0)), 0) AS d24,
+    count(DISTINCT src) AS sc, min(a) AS latest, count(*) FILTER (WHERE NOT ok AND a < 6) AS f6,
+    count(*) FILTER (WHERE NOT ok) AS f24
+  FROM x JOIN m USING (t, removed) GROUP BY 1, 2)
+SELECT t AS decision_at, removed AS {name}, {FEATURES_SQL} FROM o"""
+
+
+@query("leave_one_source_out", _left_out_sql("src", "removed_source"))
 def leave_one_source_out(spark, sf):
-    """Features recomputed without each source in turn."""
-    out = sn.leave_one_source_out(decisions_table(spark, sf), versions_table(spark, sf))
-    return tidy(out.select("decision_at", "removed_source", "news_count_24h", "news_count_6h",
-                           "sentiment_mean_24h", "source_count_24h",
-                           "hours_since_latest_article"))
+    """All features recomputed without each source in turn."""
+    return tidy(sn.leave_one_source_out(decisions_table(spark, sf), versions_table(spark, sf)))
+
+
+@query("leave_one_day_out", _left_out_sql("strftime(make_timestamp(gs), '%Y-%m-%d')"))
+def leave_one_day_out(spark, sf):
+    """All features recomputed without each calendar day in turn."""
+    return tidy(sn.leave_one_out(decisions_table(spark, sf), versions_table(spark, sf), "day"))
+
+
+@query("leave_one_group_out", _left_out_sql("g"))
+def leave_one_group_out(spark, sf):
+    """All features recomputed without each duplicate group in turn."""
+    return tidy(sn.leave_one_out(decisions_table(spark, sf), versions_table(spark, sf), "group"))
 
 
 @query("news_missingness", f"""
-WITH {NEWS_SQL}, f AS (SELECT t // 86400000000 AS d, (t // 3600000000) % 24 AS h,
+WITH {NEWS_SQL}, span AS (SELECT min(t) AS lo, max(t) AS hi FROM dec),
+f AS (SELECT t // 86400000000 AS d, (t // 3600000000) % 24 AS h, 5 * (t - lo) // (hi - lo + 1) AS k,
   CASE WHEN coalesce(n24, 0) = 0 THEN 1 ELSE 0 END AS miss, coalesce(f24 / nullif(n24, 0)::DOUBLE, 0) AS fr
-  FROM dec LEFT JOIN agg USING (t))
-SELECT d AS day, h AS hour, count(*) AS decisions, {r('avg(miss)')} AS missing_rate, {r('avg(fr)')} AS failure_rate
-FROM f GROUP BY ROLLUP (d, h)""")
+  FROM dec LEFT JOIN agg USING (t), span)
+SELECT d AS day, h AS hour, k AS fold, concat_ws(',', CASE WHEN grouping(d) = 0 THEN 'day' END,
+  CASE WHEN grouping(h) = 0 THEN 'hour' END, CASE WHEN grouping(k) = 0 THEN 'fold' END) AS level,
+  count(*) AS decisions, {r('avg(miss)')} AS missing_rate, {r('avg(fr)')} AS failure_rate
+FROM f GROUP BY CUBE (d, h, k)""")
 def news_missingness(spark, sf):
-    """Missing-news and failure rates by day, hour and overall."""
-    feats = sn.news_features(decisions_table(spark, sf), versions_table(spark, sf))
+    """Missing-news and failure rates by day, hour, calendar fifth, their crossings and overall."""
+    decisions = decisions_table(spark, sf)
+    feats = sn.news_features(decisions, versions_table(spark, sf))
     t = F.unix_micros("decision_at")
-    keyed = feats.withColumns({
-        "day": F.floor(t / (24 * HOUR)).cast("long"), "hour": F.floor(t / HOUR).cast("long") % 24})
-    return tidy(sn.missingness_cube(keyed, ["day", "hour"]))
+    span = decisions.agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))  # one row
+    keyed = feats.crossJoin(F.broadcast(span)).withColumns({
+        "day": F.floor(t / (24 * HOUR)).cast("long"), "hour": F.floor(t / HOUR).cast("long") % 24,
+        "fold": F.expr("5 * (unix_micros(decision_at) - _lo) div (_hi - _lo + 1)")})
+    return tidy(sn.missingness_cube(keyed, ["day", "hour", "fold"]))
 
 
 @query("gap_free_decisions", f"""

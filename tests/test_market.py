@@ -137,6 +137,17 @@ def test_the_future_does_not_change_features(spark):
     pd.testing.assert_frame_equal(a, b)
 
 
+def test_warmup_ends_at_one_position_for_any_chunk(spark):
+    pdf = candles(400)
+    pdf.loc[:170, "volume"] = 0.0
+    found = [technical_features(spark.createDataFrame(pdf), chunk_rows=n).toPandas()["pos"]
+             for n in (64, 128, 2048)]
+    assert all(sorted(f) == sorted(found[0]) for f in found)
+    assert 150 < found[0].min() < 250
+    pdf["volume"] = 0.0
+    assert technical_features(spark.createDataFrame(pdf), chunk_rows=64).count() == 0
+
+
 def test_label_columns_are_refused(spark):
     df = spark.createDataFrame(candles().assign(label=1))
     with pytest.raises(SchemaMismatch):

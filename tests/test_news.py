@@ -4,6 +4,7 @@ import gzip
 import json
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -250,6 +251,52 @@ def test_revisions_never_flow_backward(spark):
     assert rows[-1].hours_since_latest_article == 24.0 and rows[-1].news_missing_24h == 1
 
 
+def _versions(spark, rows):
+    start = pd.Timestamp("2026-01-01")
+    return spark.createDataFrame(pd.DataFrame([{
+        "group_id": g, "group_first_seen": start + pd.Timedelta(first, "s"),
+        "version_first_seen": start + pd.Timedelta(at, "s"), "source": source,
+        "state": "succeeded", "sentiment": float(score), "relevance": float(weight),
+    } for g, first, at, source, score, weight in rows]))
+
+
+def test_every_revision_inside_a_minute_counts(spark):
+    versions = _versions(spark, [("g", 0, 0, "s", 1, 1), ("g", 0, 20, "s", -1, 1),
+                                 ("g", 0, 40, "s", 0.5, 1)])
+    at = [pd.Timestamp("2026-01-01") + pd.Timedelta(n, "s") for n in (10, 30, 50)]
+    rows = sn.news_features(spark.createDataFrame(pd.DataFrame({"decision_at": at})),
+                            versions).orderBy("decision_at").collect()
+    assert [r.sentiment_mean_24h for r in rows] == [1, -1, 0.5]
+
+
+@pytest.mark.parametrize("unit", ["source", "group", "day"])
+def test_spread_keeps_its_digits_with_and_without_a_unit(spark, unit):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{i}", -i * 1800, -i * 1800, f"s{i % 5}", 1e6 + 1e-3 * rng.normal(),
+             rng.uniform(0.3, 1)) for i in range(40)]
+    rows.append(("null", -60, -60, None, 1e6, 0.5))
+    versions = _versions(spark, rows)
+    t = pd.Timestamp("2026-01-01 00:00:01")
+    decisions = spark.createDataFrame(pd.DataFrame({"decision_at": [t]}))
+
+    def spread(some):
+        x, w = np.array([r[4] for r in some]), np.array([r[5] for r in some])
+        centre = 1e6 + np.average(x - 1e6, weights=w)
+        return np.sqrt(np.average((x - centre) ** 2, weights=w))
+
+    got = sn.news_features(decisions, versions).first()
+    assert got.source_count_24h == 5 + 1 and got.news_count_24h == 41
+    assert got.sentiment_dispersion_24h == pytest.approx(spread(rows), rel=1e-6)
+    name = {"source": lambda r: r[3], "group": lambda r: r[0],
+            "day": lambda r: str(pd.Timestamp("2026-01-01") + pd.Timedelta(r[1], "s"))[:10]}[unit]
+    for r in sn.leave_one_out(decisions, versions, unit).collect():
+        rest = [x for x in rows if name(x) != r.removed]
+        assert r.news_count_24h == len(rest)
+        assert r.source_count_24h == len({x[3] for x in rest})
+        if len(rest) > 1:
+            assert r.sentiment_dispersion_24h == pytest.approx(spread(rest), rel=1e-5)
+
+
 def test_stream_equals_batch_and_refuses_regress(spark, tmp_path):
     folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
     folder.mkdir()
