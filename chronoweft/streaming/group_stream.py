@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -11,10 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from chronoweft import settings
 
-OUTPUT = ("dedup_fingerprint string, first_seen_at timestamp, anchor_article_id string, "
-          "anchor_first_seen_at timestamp")
+OUTPUT = "dedup_fingerprint string, t long, anchor string, at long"
 STATE = "at long, anchor string"
-_HOUR_MS = 3_600_000
+_TICK = 1_000_000  # microseconds of time in one millisecond of the stream's clock
 
 
 def _assign(hours: int):
@@ -37,12 +37,8 @@ def _assign(hours: int):
             rows.append((key[0], t, anchor, at))
         state.update((at, anchor))
         state.setTimeoutTimestamp(max(
-            at // 1000 + hours * _HOUR_MS + 1, state.getCurrentWatermarkMs() + 1))
-        out = pd.DataFrame(rows, columns=["dedup_fingerprint", "first_seen_at",
-                                          "anchor_article_id", "anchor_first_seen_at"])
-        for c in ("first_seen_at", "anchor_first_seen_at"):
-            out[c] = pd.to_datetime(out[c], unit="us")
-        yield out
+            (at + horizon) // _TICK + 1, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(rows, columns=["dedup_fingerprint", "t", "anchor", "at"])
 
     return step
 
@@ -54,9 +50,19 @@ def grouped_stream(articles: DataFrame, *, hours: int = settings.DUPLICATE_HORIZ
     State per text is its newest anchor, dropped once 72 hours have passed. Articles are consumed
     batch by batch and only the first id of each instant is kept, so a text copied without end
     costs no more than the instants of one trigger.
+
+    Pandas has no instants after 2262, so time travels as microseconds and the watermark runs on a
+    clock that counts a second as a millisecond. A row up to two seconds behind is still taken.
     """
-    narrow = articles.withWatermark("first_seen_at", lateness).select(
-        "dedup_fingerprint", "article_id", "first_seen_at",
-        F.unix_micros("first_seen_at").alias("t"))
+    delay = math.ceil(pd.Timedelta(lateness).total_seconds()) + 1
+    t = F.unix_micros("first_seen_at")
+    narrow = articles.select(
+        "dedup_fingerprint", "article_id", t.alias("t"),
+        F.timestamp_micros(F.floor(t / F.lit(_TICK // 1000)).cast("long")).alias("clock"),
+    ).withWatermark("clock", f"{delay} milliseconds")
     return narrow.groupBy("dedup_fingerprint").applyInPandasWithState(
-        _assign(hours), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
+        _assign(hours), OUTPUT, STATE, "append", GroupStateTimeout.EventTimeTimeout
+    ).select(
+        "dedup_fingerprint", F.timestamp_micros("t").alias("first_seen_at"),
+        F.col("anchor").alias("anchor_article_id"),
+        F.timestamp_micros("at").alias("anchor_first_seen_at"))

@@ -375,3 +375,27 @@ def test_batches_must_be_terminal(spark, tmp_path):
     run(proof, as_of=late)
     assert store.read("articles").count() == 4
     assert sorted(r.state for r in store.read("ledger").collect()) == ["complete", "complete", "gap"]
+
+
+def test_streamed_groups_after_2262(spark, tmp_path):
+    from chronoweft.streaming.group_stream import grouped_stream
+
+    hours = [0, 1, 72, 73, 200]
+    for k, first in enumerate((500_000, 3_000_000, 50_000_000)):  # up to the year 7673
+        spark.createDataFrame([("x", f"a{k}{i}", first + h) for i, h in enumerate(hours)],
+                              "dedup_fingerprint string, article_id string, h long").selectExpr(
+            "dedup_fingerprint", "article_id", "timestamp_seconds(h * 3600) as first_seen_at"
+        ).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(
+            "dedup_fingerprint string, article_id string, first_seen_at timestamp"
+        ).parquet(str(tmp_path / "in"))
+        grouped_stream(stream).writeStream.format("parquet").option(
+            "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(
+            availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).selectExpr(
+        "unix_seconds(first_seen_at) div 3600 as h", "anchor_article_id as a",
+        "unix_seconds(anchor_first_seen_at) div 3600 as ah").collect()
+    expected = {(first + h, f"a{k}{at}", first + hours[at])
+                for k, first in enumerate((500_000, 3_000_000, 50_000_000))
+                for h, at in zip(hours, (0, 0, 0, 3, 4), strict=True)}
+    assert {tuple(r) for r in got} == expected and len(got) == 15
