@@ -399,3 +399,15 @@ def test_streamed_groups_after_2262(spark, tmp_path):
                 for k, first in enumerate((500_000, 3_000_000, 50_000_000))
                 for h, at in zip(hours, (0, 0, 0, 3, 4), strict=True)}
     assert {tuple(r) for r in got} == expected and len(got) == 15
+
+
+def test_a_delivery_is_one_batch_however_many_files(spark, tmp_path):
+    from chronoweft.streaming.news_stream import run_available
+
+    (tmp_path / "in").mkdir()
+    for i in range(10_001):
+        (tmp_path / "in" / f"{i}.gz").write_bytes(b"x")
+    sizes = []
+    run_available(spark, str(tmp_path / "in"), str(tmp_path / "ck"),
+                  lambda files, batch: sizes.append(files.select("path").count()))
+    assert sizes == [10_001]
