@@ -411,3 +411,19 @@ def test_a_delivery_is_one_batch_however_many_files(spark, tmp_path):
     run_available(spark, str(tmp_path / "in"), str(tmp_path / "ck"),
                   lambda files, batch: sizes.append(files.select("path").count()))
     assert sizes == [10_001]
+
+
+def test_packed_files_parse_like_a_folder(spark, tmp_path):
+    lines = spark.createDataFrame(
+        [(60 * (i // 3), '{"fromUrl":"u%d","fromTitle":"é"}%s' % (i, "}" if i == 4 else ""))
+         for i in range(12)], "s long, line string").selectExpr(
+        "timestamp_seconds(s) as minute", "line")
+    sp.write_snapshot_files(lines, str(tmp_path / "f"))
+    columns = ["state", "error_code", "json_line_count", "fromUrl", "fromTitle"]
+    minute = sp.minute_of_path(F.col("path")).alias("m")
+
+    def rows(parsed):
+        return sorted(map(str, parsed.select(minute, *columns).collect()))
+
+    got = rows(sp.parse_snapshot_files(sp.pack_snapshot_files(lines)))
+    assert got == rows(sp.read_snapshot_files(spark, str(tmp_path / "f"))) and len(got) == 13
