@@ -14,6 +14,8 @@ _RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # what a Python worker holds at once is a number of bytes, not of rows of any length
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
 }
 
 

@@ -70,29 +70,52 @@ def test_text_rules(spark):
         "https://h.example:81/p?api%5Fkey=REDACTED&x=2"
 
 
-def snapshot_line(n, title="Bitcoin rises", lang="English"):
-    return json.dumps({
-        "fromUrl": f"https://a.example/{n}", "fromTitle": title, "fromLang": lang,
-        "fromDate": "20260101000000", "toUrl": f"https://b.example/{n}", "toTitle": title.upper(),
-        "toLang": lang, "toDate": None, "similarity": 0.9})
-
-
-def write(folder, minute, lines=None, raw=None):
-    path = folder / f"{minute}.jsonl.gz"
-    path.write_bytes(raw if raw is not None else gzip.compress("".join(
-        x + "\n" for x in lines).encode()))
-
-
-def published(minute):
-    return minute + F.expr("INTERVAL 31 SECONDS")
-
-
-def observations(spark, folder):
-    parsed = sp.read_snapshot_files(spark, f"file:{folder}")
-    p = published(sp.minute_of_path(F.col("path")))
-    receipts = sp.receipts(parsed, ingested_at=p, published_at=p)
-    return receipts, sp.endpoint_observations(parsed, receipts).withColumn(
-        "rights_ok", F.lit(True))
+def test_plain_unicode_stays_out_of_python(spark, monkeypatch):
+    def refuse(values: pd.Series) -> pd.Series:
+        assert values.isna().all(), "sent to Python"
+        return values
+
+    for name in ("_compose", "_fold", "_compose_fold"):
+        monkeypatch.setattr(tx, name, F.pandas_udf(refuse, "string"), raising=False)
+    text = "\u00a0Größe  für\n\u2009CAFÉ – Москва\x00 "
+    assert one(spark, text, tx.normalize_title) == "Größe für CAFÉ – Москва"
+    assert one(spark, text, tx.casefold) == text.casefold()
+    assert one(spark, "\tFrançais\n", lambda c: tx.language_code(c, {"français": "fr"})) == "fr"
+
+
+def test_characters_kept_from_python_need_none_of_its_rules(spark):
+    import re
+    import unicodedata
+
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    second = {unicodedata.decomposition(c).split()[1] for c in points
+              if re.fullmatch(r"[0-9A-F]+ [0-9A-F]+", unicodedata.decomposition(c))}
+
+    def inside(ranges):
+        form = re.sub(r"\\x\{(\w+)\}", lambda m: re.escape(chr(int(m[1], 16))), ranges)
+        return [c for c in points if re.match(f"[{form}]", c)]
+
+    composed, folded = inside(tx.COMPOSED), inside(tx.FOLDED)
+    assert set(folded) <= set(composed) and len(composed) > 30_000
+    jamo = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}
+    assert not [c for c in composed if unicodedata.normalize("NFC", c) != c or unicodedata.combining(c)
+                or f"{ord(c):04X}" in second or ord(c) in jamo]
+    rows = spark.createDataFrame([(c,) for c in folded], "v string").select(
+        "v", tx.casefold(F.col("v")).alias("x")).collect()
+    assert not [r["v"] for r in rows if r["x"] != r["v"].casefold()]
+
+
+def test_title_runs_of_white_space(spark):
+    rng, chars = random.Random(5), "ab é\u0301  \t\n\x1c\x85\u2000\u3000\x00"
+    texts = ["".join(rng.choices(chars, k=12)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "v string").select(
+        "v", tx.normalize_title(F.col("v")).alias("x")).collect()
+    import re
+    import unicodedata
+    space = "[ \t-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
+    for r in rows:
+        text = unicodedata.normalize("NFC", r["v"]).replace("\x00", "")
+        assert r["x"] == re.sub(space, " ", text).strip(" ")
 
 
 def test_bad_files_stand_next_to_good_ones(spark, tmp_path):
