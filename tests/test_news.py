@@ -118,6 +118,48 @@ def test_title_runs_of_white_space(spark):
         assert r["x"] == re.sub(space, " ", text).strip(" ")
 
 
+def test_first_versions_of_candidates_and_of_versions(spark):
+    from datetime import datetime
+    rows = [(a, f"v{v}", datetime(2024, 1, 1, 0, m), f"T{v}", "en")
+            for a, v, m in [("a", 1, 5), ("a", 2, 3), ("a", 2, 9), ("b", 3, 1), ("b", 4, 1)]]
+    table = spark.createDataFrame(
+        rows, "article_id string, version_fingerprint string, first_seen timestamp, title string, language string")
+    firsts = table.groupBy("article_id", "version_fingerprint").agg(
+        F.min("first_seen").alias("first_seen"), F.first("title").alias("title"),
+        F.first("language").alias("language"))
+    want = sorted(map(tuple, nw.initial_versions(firsts).collect()))
+    assert want == sorted(map(tuple, nw.initial_versions(table).collect()))
+    from chronoweft.functions import identity as idy
+    digests = {t: one(spark, t, lambda c: idy.dedup_fingerprint(c, F.lit("en"))) for t in ("T2", "T3")}
+    assert [w[2] for w in want] == [digests["T2"], digests["T3"]]
+
+
+
+def snapshot_line(n, title="Bitcoin rises", lang="English"):
+    return json.dumps({
+        "fromUrl": f"https://a.example/{n}", "fromTitle": title, "fromLang": lang,
+        "fromDate": "20260101000000", "toUrl": f"https://b.example/{n}", "toTitle": title.upper(),
+        "toLang": lang, "toDate": None, "similarity": 0.9})
+
+
+def write(folder, minute, lines=None, raw=None):
+    path = folder / f"{minute}.jsonl.gz"
+    path.write_bytes(raw if raw is not None else gzip.compress("".join(
+        x + "\n" for x in lines).encode()))
+
+
+def published(minute):
+    return minute + F.expr("INTERVAL 31 SECONDS")
+
+
+def observations(spark, folder):
+    parsed = sp.read_snapshot_files(spark, f"file:{folder}")
+    p = published(sp.minute_of_path(F.col("path")))
+    receipts = sp.receipts(parsed, ingested_at=p, published_at=p)
+    return receipts, sp.endpoint_observations(parsed, receipts).withColumn(
+        "rights_ok", F.lit(True))
+
+
 def test_bad_files_stand_next_to_good_ones(spark, tmp_path):
     write(tmp_path, "20260101010000", [snapshot_line(1)])
     write(tmp_path, "20260101010100", [])
