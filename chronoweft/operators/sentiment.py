@@ -3,9 +3,10 @@
 A duplicate group enters the window by its first-seen time and shows, at every decision, the newest
 version of its anchor known by then. Every group version is therefore visible on one time interval;
 it is cut to the hours of that interval (at most 25) and meets decisions by hour. Decisions are few,
-so the join is usually a broadcast that AQE chooses by size, and sums are formed per decision and
-source before anything is shuffled. Spread is summed in a second pass about each source's own mean and
-merged as (weight, mean, squared deviations), so it keeps its digits on scores far from zero.
+so the join is usually a broadcast that AQE chooses by size. What meets is dealt by decision over as
+many partitions as its number of rows asks for; all later sums and windows stay inside them, so that a
+task's memory does not grow with the table. Spread is summed about each source's own mean and merged as
+(weight, mean, squared deviations), so it keeps its digits on scores far from zero.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweft import settings
+from chronoweft.session import materialise
 
 HOUR_US = 3_600_000_000
+PART_ROWS = 100_000
 NEWS_FEATURES = [
     "sentiment_mean_6h", "sentiment_mean_24h", "news_count_1h", "news_count_6h",
     "news_count_24h", "sentiment_recency_6h", "sentiment_recency_24h", "positive_share_24h",
@@ -48,19 +51,35 @@ def visible_versions(versions: DataFrame, keys: Sequence[str] = (), *,
     })
 
 
+def _parts(hours: DataFrame, decisions: DataFrame, keys: list[str]) -> int:
+    """Partitions that hold about ``PART_ROWS`` rows each when ``hours`` meet ``decisions``."""
+    held = hours.agg(F.sum("_n")).first()[0] or 0
+    many, apart = decisions.agg(F.count(F.lit(1)), F.count_distinct(F.struct(*keys, "_h"))).first()
+    return max(1, int(-(-held * many // max(apart, 1) // PART_ROWS)))
+
+
 def _contributions(visible: DataFrame, decisions: DataFrame, keys: list[str],
                    ts: str) -> DataFrame:
-    """Visible version rows matched to the decisions that can see them."""
+    """Visible version rows matched to the decisions that can see them, dealt by decision.
+
+    Partitions are counted from the rows to come: the bytes of a shuffle say little here, as a version
+    repeats hour by hour and grows by two dozen sums.
+    """
     first = F.floor(F.col("visible_from") / HOUR_US).cast("long")
     last = F.floor(F.col("visible_to") / HOUR_US).cast("long")
-    cut = visible.withColumn("_h", F.explode(F.sequence(first, last)))
+    visible = materialise(visible.withColumn("_n", last - first + 1), "visible")
     t = F.unix_micros(F.col(ts))
     rows = decisions.select(*keys, ts).withColumn(
         "_h", F.floor(t / F.lit(HOUR_US)).cast("long")
     ).withColumn("_t", t)
+    parts = _parts(visible, rows, keys)
+    # the hint keeps the rows off a broadcast: their size is estimated before they repeat by hour
+    cut = visible.withColumn("_h", F.explode(F.sequence(first, last))).repartition(
+        parts, *keys, "_h").hint("merge")
     return cut.join(rows, [*keys, "_h"]).filter(
         (F.col("visible_from") <= F.col("_t")) & (F.col("_t") < F.col("visible_to"))
-    ).withColumn("_age", (F.col("_t") - F.unix_micros("group_first_seen")) / float(HOUR_US))
+    ).withColumn("_age", (F.col("_t") - F.unix_micros("group_first_seen")) / float(HOUR_US)
+                 ).repartition(parts, *keys, ts)
 
 
 def _valid() -> Column:
@@ -132,17 +151,14 @@ def _cells(decisions: DataFrame, versions: DataFrame, keys: list[str], ts: str,
     rows = _contributions(visible_versions(versions, keys), decisions, keys, ts).withColumn(
         "_unit", unit)
     ids = [*keys, ts, "_unit", "source"]
-    sums = rows.groupBy(*ids).agg(*[c.alias(n) for n, c in _partials().items()])
-    centres = sums.filter("_r24 > 0").select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(ids)],
-                                             _mean().alias("_centre"))
-    same = F.lit(True)
-    for i, c in enumerate(ids):
-        same = same & F.col(f"_c{i}").eqNullSafe(F.col(c))
+    cell = Window.partitionBy(*ids)
+    weight = F.when(_valid(), F.col("relevance"))
+    centre = F.coalesce(F.try_divide(F.sum(weight * F.col("sentiment")).over(cell),
+                                     F.sum(weight).over(cell)), F.lit(0.0))
     off = F.col("sentiment") - F.col("_centre")
-    spread = rows.filter(_valid()).join(centres, same).groupBy(*ids).agg(
-        F.sum(F.col("relevance") * off * off).alias("_m2"))
-    wide = spread.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(ids)], "_m2")
-    return sums.join(wide, same, "left").select(*sums.columns, F.coalesce("_m2", F.lit(0.0)).alias("_m2"))
+    return rows.withColumn("_centre", centre).groupBy(*ids).agg(
+        *[c.alias(n) for n, c in _partials().items()],
+        F.coalesce(F.sum(weight * off * off), F.lit(0.0)).alias("_m2"))
 
 
 def _merge(cells: DataFrame, by: list[str], *more: Column) -> DataFrame:
@@ -178,31 +194,28 @@ def leave_one_out(decisions: DataFrame, versions: DataFrame, unit: str, keys: Se
     by = [*keys, ts]
     cells = _cells(decisions, versions, keys, ts, F.expr(UNITS[unit]))
     shared = F.count(F.lit(1)).over(Window.partitionBy(*by, "source"))
-    units = _merge(cells.withColumn("_only", (shared == 1).cast("int")), [*by, "_unit"],
-                   F.sum("_only").alias("_only"))
-    whole = Window.partitionBy(*by)
     # a source counts once, with the first unit that holds it
     first = F.row_number().over(Window.partitionBy(*by, "source").orderBy("_unit")) == 1
-    sources = cells.withColumn("_first", first).groupBy(*by).agg(
-        F.count_if("_first").alias("_all"))
+    units = _merge(cells.withColumns({"_only": (shared == 1).cast("int"), "_first": first.cast("int")}),
+                   [*by, "_unit"], F.sum("_only").alias("_only"), F.sum("_first").alias("_first"))
+    whole = Window.partitionBy(*by)
     centre = F.coalesce(F.try_divide(F.sum("_rs24").over(whole), F.sum("_r24").over(whole)),
                         F.lit(0.0))
     shift = F.col("_r24") * (_mean() - F.col("_centre"))
     prepared = units.withColumn("_centre", centre).withColumns({
-        "_s1": shift, "_s2": shift * (_mean() - F.col("_centre"))})
+        "_s1": shift, "_s2": shift * (_mean() - F.col("_centre")), "_all": F.sum("_first").over(whole)})
     before = Window.partitionBy(*by).orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy(*by).orderBy(F.desc("_unit")).rowsBetween(
         Window.unboundedPreceding, -1)
     added = [*_SUMS, "_m2", "_s1", "_s2"]
     rest = prepared.select(
-        *by, F.col("_unit").alias("removed"), "_only",
+        *by, F.col("_unit").alias("removed"), (F.col("_all") - F.col("_only")).alias("_sources"),
         F.least(F.min("_latest").over(before), F.min("_latest").over(after)).alias("_latest"),
         *[(F.coalesce(F.sum(n).over(before), F.lit(0)) + F.coalesce(F.sum(n).over(after), F.lit(0)))
           .alias(n) for n in added])
     between = F.col("_s2") - F.coalesce(F.try_divide(F.col("_s1") * F.col("_s1"), F.col("_r24")),
                                         F.lit(0.0))
-    merged = rest.withColumn("_m2", F.col("_m2") + F.greatest(between, F.lit(0.0))).join(
-        sources, by).withColumn("_sources", F.col("_all") - F.col("_only"))
+    merged = rest.withColumn("_m2", F.col("_m2") + F.greatest(between, F.lit(0.0)))
     return _finish(merged, [*by, "removed"])
 
 

@@ -362,6 +362,20 @@ def test_spread_keeps_its_digits_with_and_without_a_unit(spark, unit):
             assert r.sentiment_dispersion_24h == pytest.approx(spread(rest), rel=1e-5)
 
 
+def test_contributions_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(sn, "PART_ROWS", 100, raising=False)
+    at = F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("id") * 600_000_000)
+    versions = spark.range(300).select(
+        F.col("id").cast("string").alias("group_id"), at.alias("group_first_seen"),
+        at.alias("version_first_seen"), F.lit("s").alias("source"), F.lit("succeeded").alias("state"),
+        F.lit(0.5).alias("sentiment"), F.lit(0.5).alias("relevance"))
+    decisions = spark.range(100).select(F.timestamp_micros(
+        F.lit(1_704_067_200_000_000) + F.col("id") * 3_600_000_000).alias("decision_at"))
+    rows = sn._contributions(sn.visible_versions(versions), decisions, [], "decision_at")
+    sizes = [r[0] for r in rows.groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert sum(sizes) == 300 * 24 and len(sizes) > 30 and max(sizes) < 1500
+
+
 def test_stream_equals_batch_and_refuses_regress(spark, tmp_path):
     folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
     folder.mkdir()
