@@ -16,6 +16,7 @@ from chronoweft.session import materialise
 
 WIDTH, PERCENT, SLOT_PERCENT = 5, 80, 80
 FILTER_BITS = 1 << 23
+GROUP = 32
 UNITS = frozenset(
     "mm cm m km g kg mg t ml l s ms h min sec hours hour minutes minute seconds second days day weeks "
     "week months month years year meters meter metres metre kilometers kilometres miles mile feet foot "
@@ -60,10 +61,13 @@ class Templates:
                          | word[:1].isupper() << 3 | (raw[-1] in ".!?:") << 4)
         return at
 
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers of the words (see ``low``) and, per reading, the kind of each place (see KINDS)."""
+    def room(self) -> None:
+        """Drop the memo if it is full; numbers given out before are void then."""
         if len(self.memo) > self.limit:
             self._clear()
+
+    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the words (see ``low``) and, per reading, the kind of each place (see KINDS)."""
         memo, look = self.memo, self._look
         ids = np.array([memo[r] if r in memo else look(r) for r in (text or "").split()], np.int64)
         says = self.says[ids]
@@ -92,6 +96,35 @@ class Templates:
 FOUND = "id bigint, copy bigint, reading int, length int, at int, window bigint, bare boolean, slots array<string>"
 
 
+def _hits(template: Templates, some: list[tuple], bits: np.ndarray, salt: np.ndarray,
+          sizes: tuple[int, ...]) -> list[tuple]:
+    """Rows FOUND of some documents: windows in the filter, hashed side by side for all of them."""
+    read = [template(text) for _, text in some]
+    lengths = np.array([len(ids) for ids, _ in read])
+    ids, kinds = np.concatenate([r[0] for r in read]), np.concatenate([r[1] for r in read], axis=1)
+    doc, begins = np.repeat(np.arange(len(some)), lengths), np.cumsum(lengths) - lengths
+    copies, out = {}, []
+    for reading in range(READINGS):
+        for size in sizes:
+            if len(ids) < size:
+                continue
+            w = template.windows(ids, kinds[reading], size)
+            if reading:
+                w = w ^ salt[reading - 1]
+            at = np.flatnonzero(bits[(w & np.uint64(FILTER_BITS - 1)).astype(np.int64)])
+            for i in at[doc[at] == doc[at + size - 1]].tolist():
+                kind = kinds[reading, i:i + size]
+                if reading == 1 and (kind == 0).sum() < LITERALS:
+                    continue
+                d = int(doc[i])
+                key, text = some[d]
+                if d not in copies:
+                    copies[d] = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
+                out.append((key, copies[d], reading, int(lengths[d]), i - int(begins[d]),
+                            int(w[i]) - 2**63, False, template.slots(ids[i:i + size], kind)))
+    return out
+
+
 def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ...]):
     """Rows FOUND: ``copy`` tells texts of one id apart, ``length`` and ``at`` are counted in words.
 
@@ -105,28 +138,28 @@ def _emit(id_col: str, width: int, mask: np.ndarray | None, sizes: tuple[int, ..
         names = [c.split()[0] for c in FOUND.split(", ")]
         for batch in batches:
             out = []
-            for key, text in zip(batch[id_col], batch["text"]):
+            rows = list(zip(batch[id_col], batch["text"]))
+            if bits is not None:
+                for at in range(0, len(rows), GROUP):
+                    template.room()
+                    out += _hits(template, rows[at:at + GROUP], bits, salt, sizes)
+                rows = []
+            for key, text in rows:
+                template.room()
                 ids, kinds = template(text)
-                copy = None
+                if not len(ids):
+                    continue
+                copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
                 for reading in range(READINGS):
                     kind = kinds[reading]
-                    for size in (sizes if sizes else (width,)):
-                        if sizes and len(ids) < size or not len(ids):
-                            continue
-                        w = template.windows(ids, kind, size)
-                        if reading:
-                            w = w ^ salt[reading - 1]
-                        at = np.arange(len(w))
-                        if bits is not None:
-                            at = at[bits[(w % np.uint64(FILTER_BITS)).astype(np.int64)] > 0]
-                        if copy is None and len(at):
-                            copy = xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - 2**63
-                        for i in at.tolist():
-                            bare = reading == 1 and (kind[i:i + size] == 0).sum() < LITERALS
-                            if bare and bits is not None:
-                                continue
-                            out.append((key, copy, reading, len(ids), i, int(w[i]) - 2**63, bare,
-                                        template.slots(ids[i:i + size], kind[i:i + size])))
+                    w = template.windows(ids, kind, width)
+                    if reading:
+                        w = w ^ salt[reading - 1]
+                    size = min(width, len(ids))
+                    for i in range(len(w)):
+                        bare = reading == 1 and (kind[i:i + size] == 0).sum() < LITERALS
+                        out.append((key, copy, reading, len(ids), i, int(w[i]) - 2**63, bare,
+                                    template.slots(ids[i:i + size], kind[i:i + size])))
             if out:  # empty lists have no type
                 yield pd.DataFrame(out, columns=names)
     return run
@@ -208,6 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH,
 def _lengths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     template = Templates()
     for batch in batches:
+        template.room()
         yield pd.DataFrame({"n": [len(template(t)[0]) for t in batch["text"]]}).astype("int32")
 
 

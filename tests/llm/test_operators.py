@@ -296,3 +296,19 @@ def test_quoted_passages(spark):
     assert links == {(2, 1): 0, (3, 2): 0, (4, 1): 0, (5, 1): 4, (5, 2): 0, (5, 3): 1, (8, 1): 7}
     for (at, level), source in links.items():
         assert shared(at, level, source) == max(shared(at, level, t) for t in range(at))
+
+
+def test_windows_of_documents_side_by_side():
+    import numpy as np
+    import pandas as pd
+
+    from chronoweft.llm import decontamination as dc
+
+    texts = ["The tank holds 40 liters of water and 3 fish.", None, "", "two words", "x " * 9, "Ann met Bob in Rome " * 3]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts})
+    every = np.ones(dc.FILTER_BITS, np.uint8)
+    template, salt = dc.Templates(), dc.mix(np.arange(1, dc.READINGS, dtype=np.uint64))
+    rows = list(zip(frame["doc_id"], frame["text"]))
+    apart = [r for row in rows for r in dc._hits(template, [row], every, salt, (2, 5))]
+    assert sorted(apart) == sorted(dc._hits(template, rows, every, salt, (2, 5)))
+    assert len([r for r in apart if r[0] == 4 and r[2] == 2]) == 8 + 5 and {r[0] for r in apart} == {0, 3, 4, 5}
