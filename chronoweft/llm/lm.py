@@ -6,127 +6,248 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import WordHash, query, table, words_of
+from chronoweft.llm.common import query, table
 from chronoweft.session import materialise
 
-STATES, CLASSES, SEGMENT, ROUNDS, BATCH_DOCS = 4, 4096, 128, 4, 1000
+STATES, CLASSES, SEGMENT, ROUNDS = 4, 4096, 128, 4
+SCORED, SIDE_BY_SIDE, RESCALE, BLOCK_BYTES = 512, 1024, 8, 1 << 24
 SMOOTH = 0.1
+BLOCKS = ("block bigint, doc_id array<bigint>, learn array<boolean>, sizes array<bigint>, codes binary, "
+          "kinds binary, word array<bigint>, class array<int>, seen array<bigint>")
 
 
 def held(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-class Classes:
-    """Hash class of every word, the end last; a bounded memo."""
-
-    def __init__(self, classes: int, limit: int = 400_000):
-        self.memo: dict[str, int] = {}
-        self.classes, self.limit = classes, limit
-
-    def __call__(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        out = np.empty(len(words) + 1, np.int32)
-        memo = self.memo
-        for i, w in enumerate(words):
-            c = memo.get(w)
-            if c is None:
-                c = memo[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) % self.classes
-            out[i] = c
-        out[-1] = self.classes
-        return out
+class Tokens:
+    """Tokens of some texts, the end of each included: codes into the distinct words (the end is the last
+    code), tokens per text, hash and class of every distinct word."""
+
+    def __init__(self, texts: pa.Array, classes: int):
+        split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        coded = split.flatten().dictionary_encode()
+        code = coded.indices.to_numpy(zero_copy_only=False)
+        words = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        n = split.value_lengths().to_numpy(zero_copy_only=False)
+        if b"" in words:  # what a blank at an edge leaves
+            none = words.index(b"")
+            del words[none]
+            real = code != none
+            edges = np.concatenate([[0], np.cumsum(n)])
+            n = np.diff(np.concatenate([[0], np.cumsum(real)])[edges])
+            code = code[real]
+            code -= code > none
+        self.sizes = (n + 1).astype(np.int64)
+        ends = np.cumsum(self.sizes) - 1
+        self.codes = np.full(int(self.sizes.sum()), len(words), "<u4")
+        inner = np.ones(len(self.codes), bool)
+        inner[ends] = False
+        self.codes[inner] = code
+        self.hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+        self.classes = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % np.uint32(classes)
+
+
+def _pack(values: np.ndarray, kind: str) -> bytes:
+    return pa.compress(values.astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _unpack(raw: bytes, n: int, kind: str) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.frombuffer(pa.decompress(raw, n * kind.itemsize, codec="zstd", asbytes=True), kind)
+
+
+def pieces(flat: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces of sequences that follow each other in ``flat``, as rows padded with -1, and their number
+    per sequence."""
+    n = -(-sizes // length)
+    last = np.cumsum(n)
+    sized = np.full(int(n.sum()), length, np.int64)
+    some = n > 0
+    sized[last[some] - 1] = sizes[some] - length * (n[some] - 1)
+    out = np.full((len(sized), length), -1, np.int32)
+    out[np.arange(length) < sized[:, None]] = flat
+    return out, n
 
 
 def segments(seqs: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray]:
     """Pieces of all sequences as rows padded with -1, and the number of pieces per sequence."""
-    n = np.array([-(-len(s) // length) for s in seqs], np.int64)
-    out = np.full((int(n.sum()), length), -1, np.int32)
-    row = 0
-    for s in seqs:
-        for at in range(0, len(s), length):
-            part = s[at:at + length]
-            out[row, :len(part)] = part
-            row += 1
-    return out, n
+    flat = np.concatenate(seqs) if len(seqs) else np.empty(0, np.int32)
+    return pieces(flat, np.array([len(s) for s in seqs], np.int64), length)
+
+
+def _longest_first(seg: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows at a time, longest first: their places, their tokens by step (padding -1), and how many
+    reach each step; those come first."""
+    sizes = (seg >= 0).sum(axis=1)
+    order = np.argsort(-sizes, kind="stable")
+    order = order[sizes[order] > 0]
+    for at in range(0, len(order), SIDE_BY_SIDE):
+        rows = order[at:at + SIDE_BY_SIDE]
+        steps = int(sizes[rows[0]])
+        reach = np.searchsorted(-sizes[rows], -np.arange(steps), "left")
+        yield rows, np.ascontiguousarray(seg[rows, :steps].T), reach
 
 
 def expected(seg: np.ndarray, start, move, emit) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts of first states, moves and emissions over padded pieces."""
+    """Expected counts of first states, moves and emissions over padded pieces.
+
+    Pieces are walked side by side with states as rows. Emissions of a class are divided by their
+    largest, which cancels, so that sums need a new scale every ``RESCALE`` steps only.
+    """
     k, classes = emit.shape
     first, moves, shown = np.zeros(k), np.zeros((k, k)), np.zeros((k, classes))
-    table_ = np.ascontiguousarray(emit.T)
-    for at in range(0, len(seg), 2048):
-        part = seg[at:at + 2048].T
-        steps = int((part >= 0).any(axis=1).sum())
-        part = part[:steps]
-        live = (part >= 0)[:, :, None]
-        b = np.where(live, table_[np.maximum(part, 0)], 1.0)
-        alpha, scale = np.empty_like(b), np.ones(b.shape[:2])
-        now = start * b[0]
-        for t in range(steps):
+    table_ = emit / np.maximum(emit.max(axis=0), 1e-300)
+    ahead_of = np.ascontiguousarray(move.T)
+    for _, part, reach in _longest_first(seg):
+        steps, width = part.shape
+        reach = reach.tolist()
+        seen = np.where(part < 0, classes, part)
+        b = np.empty((steps, k, width))
+        for s in range(k):
+            b[:, s] = np.append(table_[s], 0.0)[seen]
+        alpha, scale = np.zeros_like(b), {}
+        np.multiply(start[:, None], b[0], out=alpha[0])
+        for t in range(1, steps):
+            m = reach[t]
+            now = alpha[t, :, :m]
+            np.multiply(ahead_of @ alpha[t - 1, :, :m], b[t, :, :m], out=now)
+            if t % RESCALE == 0:
+                scale[t] = np.maximum(now.sum(axis=0), 1e-300)
+                now /= scale[t]
+        beta = np.empty((k, width))
+        done = 0
+        for t in range(steps - 1, -1, -1):
+            m = reach[t]
+            if m > done:  # pieces that end here
+                beta[:, done:m] = 1 / np.maximum(alpha[t, :, done:m].sum(axis=0), 1e-300)
+                done = m
+            now = beta[:, :m]
+            if t:
+                ahead = b[t, :, :m] * now
+                if t in scale:
+                    ahead /= scale[t]
+                moves += alpha[t - 1, :, :m] @ ahead.T
+            alpha[t, :, :m] *= now
             if t:
-                now = np.where(live[t], (alpha[t - 1] @ move) * b[t], alpha[t - 1])
-            scale[t] = np.maximum(now.sum(axis=1), 1e-300)
-            alpha[t] = now = now / scale[t][:, None]
-        beta = np.ones_like(alpha[0])
-        gamma = alpha
-        for t in range(steps - 1, 0, -1):
-            ahead = b[t] * beta / scale[t][:, None]
-            use = np.where(live[t], ahead, 0.0)
-            moves += move * (alpha[t - 1].T @ use)
-            gamma[t] = alpha[t] * beta
-            beta = np.where(live[t], ahead @ move.T, beta)
-        gamma[0] = alpha[0] * beta
-        gamma /= np.maximum(gamma.sum(axis=2, keepdims=True), 1e-300)
-        first += gamma[0].sum(axis=0)
-        on = live[:, :, 0]
+                np.matmul(move, ahead, out=now)
+        first += alpha[0].sum(axis=1)
+        seen = seen.ravel()
         for s in range(k):
-            shown[s] += np.bincount(part[on], gamma[:, :, s][on], minlength=classes)
-    return first, moves, shown
+            shown[s] += np.bincount(seen, alpha[:, s].ravel(), minlength=classes + 1)[:classes]
+    return first, moves * move, shown
 
 
 def log10_likelihood(seqs: list[np.ndarray], start, move, emit, length: int = SEGMENT) -> np.ndarray:
-    """Exact log10 P of every class sequence.
+    """Exact log10 P of every class sequence."""
+    return _log10_likelihood(*segments(seqs, length), start, move, emit)
+
+
+def _log10_likelihood(seg: np.ndarray, n: np.ndarray, start, move, emit) -> np.ndarray:
+    """Exact log10 P of every sequence, given its pieces.
 
-    The forward recursion is a product of matrices; pieces are multiplied out side by side, with a
-    scale per step, and chained per sequence.
+    The forward recursion is a product of matrices. The first piece of a sequence is a row of numbers
+    from ``start`` on; later pieces are multiplied out side by side and chained per sequence.
     """
-    seg, n = segments(seqs, length)
-    k = len(start)
-    table_ = np.ascontiguousarray(emit.T)
-    mats, logs = np.empty((len(seg), k, k)), np.zeros(len(seg))
-    for at in range(0, len(seg), 4096):
-        part = seg[at:at + 4096]
-        m = np.broadcast_to(np.eye(k), (len(part), k, k)).copy()
-        for t in range(part.shape[1]):
-            on = np.flatnonzero(part[:, t] >= 0)
-            if len(on) == 0:
-                break
-            new = (m[on] * table_[part[on, t]][:, None, :]) @ move
-            total = np.maximum(new.sum(axis=(1, 2)), 1e-300)
-            m[on] = new / total[:, None, None]
-            logs[at + on] += np.log10(total)
-        mats[at:at + 4096] = m
-    out, row = np.zeros(len(seqs)), 0
-    for i, pieces in enumerate(n.tolist()):
-        v = start
-        for _ in range(pieces):
-            v = v @ mats[row]
-            total = max(v.sum(), 1e-300)
-            out[i] += np.log10(total) + logs[row]
-            v = v / total
-            row += 1
+    k, top = len(start), np.maximum(emit.max(axis=0), 1e-300)
+    table_, log_top = np.append(emit / top, np.zeros((k, 1)), axis=1), np.append(np.log10(top), 0.0)
+    ahead_of = np.ascontiguousarray(move.T)
+
+    def walk(rows: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """State sums after each of the rows (states, begins, rows) from every column of ``begin``, before
+        a further move, and the log10 of what they were divided by."""
+        wide = begin.shape[1]
+        out, logs = np.empty((k, wide, len(rows))), np.zeros(len(rows))
+        for places, part, reach in _longest_first(seg[rows]):
+            steps, width = part.shape
+            lost = log_top[part].sum(axis=0)
+            now = np.repeat(begin[:, :, None], width, axis=2)
+            for t, m in enumerate(reach.tolist()):
+                if t:
+                    live = np.ascontiguousarray(now[:, :, :m]).reshape(k, wide * m)
+                    live = (ahead_of @ live).reshape(k, wide, m)
+                else:
+                    live = now[:, :, :m]
+                live = live * table_[:, None, part[t, :m]]
+                if t % RESCALE == RESCALE - 1:
+                    total = np.maximum(live.sum(axis=(0, 1)), 1e-300)
+                    live /= total
+                    lost[:m] += np.log10(total)
+                now[:, :, :m] = live
+            out[:, :, places], logs[places] = now, lost
+        return out, logs
+
+    used = np.flatnonzero(n > 0)
+    heads = (np.cumsum(n) - n)[used]
+    first, log_first = walk(heads, np.asarray(start)[:, None])
+    total = np.maximum(first[:, 0].sum(axis=0), 1e-300)
+    out = np.zeros(len(n))
+    out[used] = np.log10(total) + log_first
+    v = np.zeros((k, len(n)))
+    v[:, used] = first[:, 0] / total
+    later = np.setdiff1d(np.arange(len(seg)), heads)
+    if len(later):
+        whole, logs = walk(later, ahead_of)  # a move comes before the first token of a later piece
+        owner = np.repeat(np.arange(len(n)), n)[later].tolist()
+        for i, at in enumerate(owner):
+            after = whole[:, :, i] @ v[:, at]
+            total = max(after.sum(), 1e-300)
+            out[at] += np.log10(total) + logs[i]
+            v[:, at] = after / total
     return out
 
 
-def train(texts: DataFrame, base: np.ndarray, states: int = STATES, classes: int = CLASSES,
+def blocks_of(classes: int):
+    """Texts as blocks of codes; a block is one row and holds some ``BLOCK_BYTES`` of texts at most, or
+    one Arrow batch."""
+    def close(seq: int, held_: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held_).combine_chunks()
+        made = Tokens(rows["text"].combine_chunks(), classes)
+        learn = rows["learn"].to_numpy()
+        seen = np.bincount(made.codes[np.repeat(learn, made.sizes)],
+                           minlength=len(made.hashes) + 1)[:-1]
+        block = TaskContext.get().partitionId() << 32 | seq
+        cells = [[block], [rows["doc_id"].to_pylist()], [learn.tolist()], [made.sizes],
+                 [_pack(made.codes, "<u4")], [_pack(made.classes, "<u4")], [made.hashes.view(np.int64)],
+                 [made.classes.astype(np.int32)], [seen]]
+        kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary(),
+                 pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, kinds)],
+                                          names=[f.split(" ")[0] for f in BLOCKS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seq, held_, size = 0, [], 0
+        for batch in batches:
+            if held_ and size + batch.nbytes > BLOCK_BYTES:
+                yield close(seq, held_)
+                seq, held_, size = seq + 1, [], 0
+            if batch.num_rows:
+                held_.append(batch)
+                size += batch.nbytes
+        if held_:
+            yield close(seq, held_)
+    return run
+
+
+def _sequences(sizes: np.ndarray, codes: bytes, kinds: bytes, words: int,
+               classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of a block, and their classes."""
+    code = _unpack(codes, int(sizes.sum()), "<u4")
+    of = np.append(_unpack(kinds, words, "<u4"), classes).astype(np.int32)
+    return code, of[code]
+
+
+def train(blocks: DataFrame, base: np.ndarray, states: int = STATES, classes: int = CLASSES,
           rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Baum-Welch over every row of ``texts``: each round adds up expected counts of all partitions.
+    """Baum-Welch over every text of ``blocks`` to learn from: each round adds up expected counts of all
+    partitions.
 
     Training sequences are pieces of ``SEGMENT`` tokens. The parameters have a fixed size, states x
     (classes + states + 1) numbers, whatever the vocabulary.
@@ -139,20 +260,23 @@ def train(texts: DataFrame, base: np.ndarray, states: int = STATES, classes: int
     np.fill_diagonal(move, 0.96 if states > 1 else 1.0)
     start = np.full(states, 1 / states)
     for _ in range(rounds):
-        def run(batches: Iterator[pd.DataFrame], start=start, move=move, emit=emit):
-            read = Classes(classes)
+        def run(batches: Iterator[pa.RecordBatch], start=start, move=move, emit=emit):
             sums = None
             for b in batches:
-                seqs = [read(words_of(t)) for t in b["text"]]
-                got = np.concatenate([x.ravel() for x in expected(
-                    segments(seqs, SEGMENT)[0], start, move, emit)])
-                sums = got if sums is None else sums + got
+                for i in range(b.num_rows):
+                    learn, sizes, codes, kinds, words = (c[i] for c in b.columns)
+                    learn, sizes = (x.values.to_numpy(zero_copy_only=False) for x in (learn, sizes))
+                    _, seq = _sequences(sizes, codes.as_py(), kinds.as_py(), words.as_py(), classes)
+                    seg = pieces(seq[np.repeat(learn, sizes)], sizes[learn], SEGMENT)[0]
+                    got = np.concatenate([x.ravel() for x in expected(seg, start, move, emit)])
+                    sums = got if sums is None else sums + got
             if sums is not None:
-                yield pd.DataFrame({"at": np.arange(len(sums)), "x": sums})
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums)],
+                                                 names=["at", "x"])
 
         sums = np.zeros(states + states * states + states * (classes + 1))
-        for at, x in texts.select("text").mapInPandas(run, "at bigint, x double").groupBy("at").agg(
-                F.sum("x").alias("x")).collect():
+        for at, x in blocks.select("learn", "sizes", "codes", "kinds", F.size("word").alias("words")).mapInArrow(
+                run, "at bigint, x double").groupBy("at").agg(F.sum("x").alias("x")).collect():
             sums[at] = x
         first, moves = sums[:states], sums[states:states + states * states]
         shown = sums[states + states * states:].reshape(states, -1)
@@ -169,81 +293,59 @@ def score(docs: DataFrame, states: int = STATES, classes: int = CLASSES,
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score per row of ``docs``.
 
     The model learns from rows that are not held out. P(text) = forward likelihood of the hash classes
-    times P(word | class) with the smoothed training counts of all words. Counts reach the documents by a
-    join per batch of about a thousand documents; words with over 1/2000 of all tokens (2000 at most) are
-    broadcast. Null and empty texts are one end token; a null doc_id is never held out; repeated rows are
-    scored each.
+    times P(word | class) with the smoothed training counts of all words. Every text is split once: its
+    tokens are codes into the distinct words of its block of texts, and counts reach a block by a join of
+    its distinct words; words with over 1/2000 of all tokens (2000 at most) are broadcast. Null and empty
+    texts are one end token; a null doc_id is never held out; repeated rows are scored each.
     """
     spark = docs.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    learn = rows.filter(~held())
-
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes, read = WordHash(), Classes(classes)
-        for b in batches:
-            words = [w for t in b["text"] for w in words_of(t)]
-            h, at, n = np.unique(hashes(words), return_index=True, return_counts=True)
-            yield pd.DataFrame({"word": h.view(np.int64), "class": read(words)[at], "n": n})
-
-    counts = materialise(learn.mapInPandas(count, "word bigint, class int, n bigint").groupBy(
-        "word").agg(F.first("class").alias("class"), F.sum("n").alias("n")), "counts")
+    blocks = materialise(rows.select("doc_id", (~held()).alias("learn"), "text").mapInArrow(
+        blocks_of(classes), BLOCKS), "blocks")
+    seen = blocks.select(F.explode(F.arrays_zip("word", "class", "seen")).alias("x")).select("x.*")
+    counts = materialise(seen.filter("seen > 0").groupBy("word").agg(
+        F.first("class").alias("class"), F.sum("seen").alias("n")), "counts")
     per_class = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"))
     size, kinds = np.zeros(classes + 1), np.zeros(classes + 1)
     for c, n, v in per_class.collect():  # at most one row per class
         size[c], kinds[c] = n, v
-    ends = learn.count()
+    ends = blocks.agg(F.sum(F.size(F.filter("learn", lambda x: x)))).first()[0] or 0
     size[classes], kinds[classes] = ends, min(ends, 1)
-    start, move, emit = train(learn, size, states, classes, rounds)
+    start, move, emit = train(blocks, size, states, classes, rounds)
     tokens, distinct = int(size.sum()), int(kinds.sum())
 
-    blocks = max(1, -(-rows.count() // BATCH_DOCS))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def vocabulary(group: pd.DataFrame) -> pd.DataFrame:
-        hashes, seen = WordHash(), np.empty(0, np.uint64)
-        for at in range(0, len(group), 100):
-            words = {w for t in group["text"].iloc[at:at + 100] for w in words_of(t)}
-            seen = np.union1d(seen, hashes(list(words)))
-        return pd.DataFrame({"block": group["block"].iloc[0], "word": seen.view(np.int64)})
-
-    asked = dealt.groupBy("block").applyInPandas(vocabulary, "block bigint, word bigint")
-    asked = materialise(asked, "asked")
+    asked = blocks.select("block", F.posexplode("word").alias("at", "word"))
     common = F.broadcast(counts.filter(F.col("n") * 2000 > tokens).select("word", "n"))
-    known = asked.join(common, "word").select("block", "word", "n").union(
+    known = asked.join(common, "word").select("block", "at", "n").union(
         asked.join(common, "word", "left_anti").join(counts.filter(
-            F.col("n") * 2000 <= tokens), "word").select("block", "word", "n"))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("word")
-        keys, values = right["word"].to_numpy(), right["n"].to_numpy()
-        hashes, read, out = WordHash(), Classes(classes), []
-        for at in range(0, len(left), 100):
-            part = left.iloc[at:at + 100]
-            seqs, rest, base, n_known = [], [], [], []
-            for text in part["text"]:
-                words = words_of(text)
-                seq = read(words)
-                c = np.zeros(len(seq))
-                c[-1] = ends
-                if len(keys) and words:
-                    h = hashes(words).view(np.int64)
-                    pos = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                    c[:-1] = np.where(keys[pos] == h, values[pos], 0)
-                seqs.append(seq)
-                n_known.append(int((c > 0).sum()))
-                base.append(np.log10((c + SMOOTH) / (tokens + SMOOTH * (distinct + 1))).sum())
-                inside = np.log10((c + SMOOTH) / (size[seq] + SMOOTH * (kinds[seq] + 1)))
-                inside[-1] = 0.0  # the end is the only word of its class
-                rest.append(inside.sum())
-            out.append(pd.DataFrame({
-                "doc_id": part["doc_id"].astype("Int64"), "n_tokens": [len(s) for s in seqs],
-                "n_known": n_known, "base_score": base,
-                "score": log10_likelihood(seqs, start, move, emit) + np.array(rest)}))
-        return pd.concat(out) if out else pd.DataFrame(
-            columns=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    scored = dealt.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(
+            F.col("n") * 2000 <= tokens), "word").select("block", "at", "n")).withColumnRenamed("block", "of")
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        at, n = (right[c].to_numpy() for c in ("at", "n"))
+        for row in left.to_pylist():
+            sizes = np.array(row["sizes"], np.int64)
+            code, seq = _sequences(sizes, row["codes"], row["kinds"], row["words"], classes)
+            of = np.append(_unpack(row["kinds"], row["words"], "<u4"), classes)
+            c = np.zeros(row["words"] + 1)
+            c[at], c[-1] = n, ends
+            base = np.log10((c + SMOOTH) / (tokens + SMOOTH * (distinct + 1)))
+            inside = np.log10((c + SMOOTH) / (size[of] + SMOOTH * (kinds[of] + 1)))
+            inside[-1] = 0.0  # the end is the only word of its class
+            begins = np.cumsum(sizes) - sizes
+            forward = _log10_likelihood(*pieces(seq, sizes, SCORED), start, move, emit)
+            made.append(pa.table({
+                "doc_id": pa.array(row["doc_id"], pa.int64()), "n_tokens": sizes,
+                "n_known": np.add.reduceat((c > 0).astype(np.int64)[code], begins),
+                "base_score": np.add.reduceat(base[code], begins),
+                "score": forward + np.add.reduceat(inside[code], begins)}))
+        return pa.concat_tables(made) if made else pa.schema(
+            [(c, t) for c, t in (("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
+                                 ("base_score", pa.float64()), ("score", pa.float64()))]).empty_table()
+
+    coded = blocks.select("block", "doc_id", "sizes", "codes", "kinds", F.size("word").alias("words"))
+    scored = coded.groupBy("block").cogroup(known.groupBy("of")).applyInArrow(
         run, "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select("doc_id", held().alias("held_out"), "n_tokens", "n_known",
                          F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -2,9 +2,11 @@
 
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweft.llm import (
     decontamination, embeddings, licenses, lm, minhash, packing, pii, quotes, tokens, toxicity,
@@ -255,6 +257,38 @@ def test_language_model_edges(docs):
     assert len(rows) == len(ROWS) and all(r.score < 0 for r in rows)
 
 
+def lm_words(text):
+    folded = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    return re.findall(r"[^\x20\x09-\x0D]+", folded)
+
+
+def test_language_model_splits_every_text_once(spark):
+    texts = ["Ab\x0bAB\x1cx \u00e9", " a  b ", "", None, "\u00c9\u00a0A b\r\nB", "w " * 700 + "end", "held"]
+    rows = [(2**53 + 1 + i, t) for i, t in enumerate(texts)] + [(None, "a b")] * 2
+    read = spark.sparkContext.accumulator(0)
+
+    def pass_on(text):
+        read.add(1)
+        return text
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn(
+        "text", F.udf(pass_on, "string").asNondeterministic()("text"))
+    got = lm.score(docs, rounds=2).collect()
+    assert read.value == len(rows)
+    words = {i: lm_words(t) for i, t in rows}
+    out = {i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows}
+    n = Counter(w for i, t in rows if not out[i] for w in [*lm_words(t), ""])
+    total, kinds = sum(n.values()), len(n)
+    assert Counter(r.doc_id for r in got) == Counter(i for i, _ in rows)
+    for r in got:
+        have = [*words[r.doc_id], ""]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (
+            out[r.doc_id], len(have), sum(w in n for w in have), total)
+        assert r.base_score == pytest.approx(
+            sum(np.log10((n[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in have), rel=1e-12)
+        assert r.score < 0
+
+
 def test_quotes(spark):
     rows = [(1, 0, "user", "Hello there\nsecond line"), (1, 1, "assistant", "> hello  there\nhi"),
             (1, 2, "user", "> hi\n>> hello there\nthanks"), (1, 3, "user", None),
