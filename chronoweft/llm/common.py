@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,67 @@ def fold_bytes(text: str, table_: bytes) -> str:
     return text.encode("utf-8", "surrogatepass").translate(table_).decode("utf-8", "surrogatepass")
 
 
+def _blank(data: np.ndarray) -> np.ndarray:
+    """Bytes of UTF-8 text that belong to white space, Unicode's included."""
+    table_ = np.zeros(256, bool)
+    table_[[*range(9, 14), *range(28, 33)]] = True
+    out = table_[data]
+    lead = np.flatnonzero((data == 0xC2) | ((data >= 0xE1) & (data <= 0xE3)))
+    if len(lead):
+        far = np.append(data, np.zeros(2, np.uint8)).astype(np.int32)
+        code = (far[lead] << 16) | (far[lead + 1] << 8) | far[lead + 2]
+        two = lead[np.isin(code >> 8, _TWO)]
+        three = lead[np.isin(code, _THREE)]
+        for k, at in ((2, two), (3, three)):
+            for i in range(k):
+                out[at + i] = True
+    return out
+
+
+def _spaces(size: int) -> np.ndarray:
+    found = [chr(c).encode() for c in range(128, 0x10000) if chr(c).isspace()]
+    return np.array([int.from_bytes(b, "big") for b in found if len(b) == size])
+
+
+_TWO, _THREE = _spaces(2), _spaces(3)
+
+
+def stretches(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Texts cut before every blank or line feed between two visible characters.
+
+    The distinct stretches, the place of every stretch in that list, and the edges of the texts in it.
+    """
+    texts = texts.cast(pa.large_binary())
+    edges = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[edges[0]:edges[-1]] if raw else np.empty(0, np.uint8)
+    edges = edges - edges[0]
+    blank = _blank(data)
+    some = np.diff(edges) > 0
+    begin, last = np.zeros(len(data), bool), np.zeros(len(data), bool)
+    last[edges[1:][some] - 1] = True
+    at = np.flatnonzero(((data == 32) | (data == 10)) & ~last)
+    at = at[at > 0]
+    begin[at[~blank[at - 1] & ~blank[at + 1]]] = True
+    begin[edges[:-1][some]] = True
+    at = np.flatnonzero(begin)
+    cut = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype(np.int64)),
+                                     pa.py_buffer(np.ascontiguousarray(data))])
+    coded = cut.dictionary_encode()
+    return (coded.dictionary.to_numpy(zero_copy_only=False).tolist(),
+            coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(at, edges))
+
+
+def joined(parts: list[bytes], codes: np.ndarray, edges: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """``parts`` by ``codes`` in a row, and the byte edges of the texts that ``stretches`` cut."""
+    rows = pa.array(parts, pa.large_binary()).take(pa.array(codes))
+    if not len(rows):
+        return memoryview(b""), np.zeros(len(edges), np.int64)
+    to = np.frombuffer(rows.buffers()[1], np.int64)[:len(rows) + 1]
+    return memoryview(rows.buffers()[2] or b""), to[edges]
+
+
 class WordHash:
     """64-bit hashes of words with a bounded memo."""
 

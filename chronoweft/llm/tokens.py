@@ -3,28 +3,27 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import mix, query, table
+from chronoweft.llm.common import joined, mix, query, stretches, table
 from chronoweft.session import scratch_path
 
 END_ID = 0
 SHARD_IDS, SHARD_DOCS = 1 << 19, 1 << 12
 NO_KEY = -(1 << 63)
-MEMO, MEMO_CHARS, TEXTS = 400_000, 64, 256
+MEMO, MEMO_BYTES, TOGETHER = 400_000, 64, 4096
 SHARD = ("part int, seq int, first_id bigint, last_id bigint, n_docs bigint, n_ids bigint, before bigint, "
          "levels array<binary>, prints binary, entries binary, offsets binary, keys binary, payload binary")
-# a blank or line feed between two visible characters always starts a pre-token
-_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
 
 
 def _level(keys: np.ndarray, level: int, size: int) -> np.ndarray:
@@ -103,7 +102,7 @@ class Encoder:
     """Ids of whole texts as raw bytes, with a memo of two generations for repeated stretches.
 
     Texts are cut where a pre-token starts in any case, so the ids of the stretches in a row are the ids
-    of the text. Stretches over ``MEMO_CHARS`` are encoded each time.
+    of the text. Stretches over ``MEMO_BYTES`` are encoded each time.
     """
 
     def __init__(self, path: str):
@@ -111,29 +110,70 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # tasks already use every core
         self.model = Tokenizer.from_file(path)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def _encode(self, parts: list[str]) -> list[bytes]:
-        return [np.array(c.ids, "<u4").tobytes()
-                for c in self.model.encode_batch(parts, add_special_tokens=False)]
-
-    def documents(self, texts: list[str]) -> list[bytes]:
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, k in vocabulary.items():  # a character stands for a byte
+            self.sizes[k] = len(token)
+        for k, token in self.model.get_added_tokens_decoder().items():
+            self.sizes[k] = len(token.content.encode())
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _encode(self, parts: list[bytes]) -> list[bytes]:
+        """Ids of every part. Parts that keep apart beside each other are encoded as one text, and the
+        sizes of the tokens in bytes say where a part ends."""
+        out = [b""] * len(parts)
+        apart, alone = [], []
+        for i, p in enumerate(parts):
+            text = p.decode()
+            whole = (len(text) > 1 and text[0] in " \n" and not text[1].isspace()
+                     and not text[-1].isspace())
+            (apart if whole else alone).append((i, text))
+        for at in range(0, len(apart), TOGETHER):
+            some = apart[at:at + TOGETHER]
+            ids = np.array(self.model.encode_batch_fast(
+                ["".join([t for _, t in some])], add_special_tokens=False)[0].ids, "<u4")
+            run = np.cumsum(self.sizes[ids])
+            stops = np.cumsum([len(parts[i]) for i, _ in some])
+            to = np.searchsorted(run, stops) + 1
+            if len(run) == 0 or run[-1] != stops[-1] or (run[to - 1] != stops).any():
+                alone += some
+                continue
+            raw, to = ids.tobytes(), (4 * to).tolist()
+            for (i, _), a, b in zip(some, [0, *to], to):
+                out[i] = raw[a:b]
+        if alone:
+            for (i, _), coded in zip(alone, self.model.encode_batch_fast(
+                    [t for _, t in alone], add_special_tokens=False)):
+                out[i] = np.array(coded.ids, "<u4").tobytes()
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """Raw ids of all texts in a row, and the edges of the texts in bytes."""
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
         young, old = self.young, self.old
-        split = [_BREAK.split(text) for text in texts]
+        parts, codes, edges = stretches(texts)
+        found = list(map(young.get, parts))
         missing = []
-        for p in {p for parts in split for p in parts}.difference(young):
-            if p in old:
-                young[p] = old[p]
-            else:
-                missing.append(p)
-        found = dict(zip(missing, self._encode(missing)))
-        young.update((p, ids) for p, ids in found.items() if len(p) <= MEMO_CHARS)
-        longer = {p: ids for p, ids in found.items() if len(p) > MEMO_CHARS}
-        return [b"".join([longer[p] if len(p) > MEMO_CHARS else young[p] for p in parts])
-                for parts in split]
+        for i, ids in enumerate(found):
+            if ids is None:
+                p = parts[i]
+                ids = found[i] = old.get(p)
+                if ids is None:
+                    missing.append(i)
+                else:
+                    young[p] = ids
+        for i, ids in zip(missing, self._encode([parts[i] for i in missing])):
+            found[i] = ids
+            if len(parts[i]) <= MEMO_BYTES:
+                young[parts[i]] = ids
+        return joined(found, codes, edges)
+
+    def documents(self, texts: list[str]) -> list[bytes]:
+        raw, edges = self.encode(pa.array(texts, pa.string()))
+        edges = edges.tolist()
+        return [bytes(raw[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -143,8 +183,11 @@ def encoder(path: str) -> Encoder:
 
 def _shards(path: str, end_id: int, shard_ids: int, shard_docs: int):
     end = np.array([end_id], "<u4").tobytes()
+    arrow = {"int": pa.int32(), "bigint": pa.int64(), "binary": pa.binary(),
+             "array<binary>": pa.list_(pa.binary())}
+    kinds = pa.schema([(name, arrow[kind]) for name, kind in (f.split(" ") for f in SHARD.split(", "))])
 
-    def pack(seq: int, before: int, keys: list[int], parts: list[bytes]) -> pd.DataFrame:
+    def pack(seq: int, before: int, keys: list[int], parts: list[bytes]) -> pa.RecordBatch:
         key = np.array(keys, np.int64)
         offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype("<u8")
         distinct, first, n = np.unique(key, return_index=True, return_counts=True)
@@ -152,27 +195,26 @@ def _shards(path: str, end_id: int, shard_ids: int, shard_docs: int):
         prints, entries = np.empty(len(slot), "<u4"), np.empty((len(slot), 2), "<u4")
         prints[slot] = fingerprint(distinct)
         entries[slot] = np.stack([first, n], axis=1)
-        return pd.DataFrame([{
+        return pa.RecordBatch.from_pylist([{
             "part": TaskContext.get().partitionId(), "seq": seq, "first_id": keys[0],
             "last_id": keys[-1], "n_docs": len(keys), "n_ids": int(offsets[-1]), "before": before,
             "levels": levels, "prints": prints.tobytes(), "entries": entries.tobytes(),
             "offsets": offsets.tobytes(), "keys": key.astype("<i8").tobytes(),
-            "payload": b"".join(parts)}])
+            "payload": b"".join(parts)}], schema=kinds)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path).documents
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path).encode
         seq, before, held, keys, parts = 0, 0, 0, [], []
         for batch in batches:
-            texts = batch["text"].fillna("").tolist()
-            ids_ = batch["doc_id"].tolist()
-            for at in range(0, len(texts), TEXTS):
-                for k, raw in zip(ids_[at:at + TEXTS], encode(texts[at:at + TEXTS])):
-                    if held >= shard_ids or len(keys) >= shard_docs:
-                        yield pack(seq, before, keys, parts)
-                        seq, before, held, keys, parts = seq + 1, before + held, 0, [], []
-                    keys.append(k)
-                    parts.append(raw + end)
-                    held += len(raw) // 4 + 1
+            raw, edges = encode(pc.fill_null(batch["text"], ""))
+            edges = edges.tolist()
+            for k, a, b in zip(batch["doc_id"].to_numpy().tolist(), edges, edges[1:]):
+                if held >= shard_ids or len(keys) >= shard_docs:
+                    yield pack(seq, before, keys, parts)
+                    seq, before, held, keys, parts = seq + 1, before + held, 0, [], []
+                keys.append(k)
+                parts.append(bytes(raw[a:b]) + end)
+                held += (b - a) // 4 + 1
         if keys:
             yield pack(seq, before, keys, parts)
     return run
@@ -193,7 +235,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID,
     rows = docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NO_KEY)).alias("doc_id"),
                        "text", F.xxhash64("text").alias("_h"))
     rows = rows.repartitionByRange(parts, "doc_id", "_h").sortWithinPartitions("doc_id", "_h", "text")
-    rows.select("doc_id", "text").mapInPandas(
+    rows.select("doc_id", "text").mapInArrow(
         _shards(tokenizer, end_id, shard_ids, shard_docs), SHARD).write.parquet(path)
 
 

@@ -5,12 +5,14 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronoweft.llm import (
     decontamination, embeddings, licenses, lm, minhash, packing, pii, quotes, tokens, toxicity,
 )
+from chronoweft.llm.common import stretches
 
 BASE = " ".join(f"word{i}" for i in range(60))
 ROWS = [
@@ -221,6 +223,40 @@ def test_ids_equal_a_fresh_encoding(spark, tmp_path):
     assert tokens.lookup(spark, path, 10**6) == []
 
 
+def test_stretches_equal_a_pattern():
+    between = re.compile(r"(?<=\S)(?=[ \n]\S)")
+    bits = [*"ab.  \n\t\r", "\u00a0", "\u1680", "\u2003", "\u3000", "\u00e9", "\u20ac", "\x1c", "\x85", "\u4e2d"]
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(bits, n)) for n in rng.integers(0, 30, 3000)]
+    parts, codes, edges = stretches(pa.array(["out", *texts, "out"]).slice(1, len(texts)))
+    assert len(set(parts)) == len(parts)
+    for text, a, b in zip(texts, edges, edges[1:]):
+        assert [parts[k].decode() for k in codes[a:b]] == [p for p in between.split(text) if p]
+    assert stretches(pa.array(["", ""]))[2].tolist() == [0, 0, 0]
+
+
+def test_stretches_are_encoded_side_by_side():
+    public = pytest.importorskip("public_tokenizers")
+    tool = tokens.Encoder(public.path("byte_bpe_50k.json"))
+    model, given = tool.model, []
+
+    class Spy:
+        def __getattr__(self, name):
+            def call(texts, **how):
+                given.extend(texts)
+                return getattr(model, name)(texts, **how)
+            return call
+
+    tool.model = Spy()
+    texts = [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(500)] + ["a <|endoftext|> b"]
+    made = tool.documents(texts)
+    assert len(given) <= len(texts) + 10  # 10003 different stretches, the first of a text alone
+    tool.documents(texts)
+    assert len(given) <= len(texts) + 10
+    for text, raw in zip(texts, made):
+        assert np.frombuffer(raw, "<u4").tolist() == model.encode(text, add_special_tokens=False).ids
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(600, 16))
