@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweft.llm.common import query, table
+from chronoweft.llm.common import joined, query, stretches, table
 from chronoweft.session import materialise
 
 BLOCK_CHARS, BLOCK_DOCS = 1 << 22, 1 << 13
-MEMO, MEMO_CHARS = 150_000, 64
+MEMO, MEMO_BYTES, TOGETHER, TEXTS = 300_000, 64, 2048, 512
 B_BITS = 15
 BLOCKS = ("block bigint, doc_id array<string>, n_a array<bigint>, n_b array<bigint>, "
           "n_groups array<bigint>, n_links array<bigint>, groups array<string>, stops array<bigint>, "
           "codes binary, times binary, pair array<int>, docs array<int>")
-# a blank or line feed between two visible characters: no token of either vocabulary reaches over it
-_BREAK = re.compile(r"(?<=\S)(?=[ \n]\S)")
+UNEQUAL = (b"", bytes(32), b"")
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -49,8 +49,9 @@ def cuts(begins: np.ndarray, ends: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Aligner:
     """Both tokenizers, and a memo of two generations from stretches of text to their alignment.
 
-    Texts are cut at single blanks and line feeds between visible characters. An entry is
-    (groups, tokens of A, tokens of B, groups, links, pairs as bytes), or None where bytes differ.
+    Texts are cut at a blank or line feed between two visible characters: no token of either vocabulary
+    reaches over it. An entry has bytes only: groups, each with a semicolon behind it; tokens of A, tokens
+    of B, groups, links; pairs. ``UNEQUAL`` stands for a stretch whose bytes differ.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -71,78 +72,102 @@ class Aligner:
             piece = self.b.id_to_piece(k)
             self.bytes_b.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(k)
                                 else piece.replace("▁", " ").encode())
-        self.young: dict[str, tuple | None] = {}
-        self.old: dict[str, tuple | None] = {}
+        self.sizes_a, self.sizes_b = (np.array(list(map(len, x))) for x in (self.bytes_a, self.bytes_b))
+        self.said = list(map(str, range(max(len(self.bytes_a), len(self.bytes_b)))))
+        self.young: dict[bytes, tuple[bytes, bytes, bytes]] = {}
+        self.old: dict[bytes, tuple[bytes, bytes, bytes]] = {}
 
-    def _encode(self, parts: list[str]) -> list[tuple | None]:
+    def _encode(self, parts: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
         """Alignment of every part; all are encoded as one text, whose cuts hold the parts apart."""
-        text = "".join(parts)
-        raw = text.encode()
+        raw = b"".join(parts)
+        text = raw.decode()
         coded = self.a.encode(text, add_special_tokens=False)
-        a, spans = np.array(coded.ids), np.array(coded.offsets)
+        ids_a = coded.ids
+        a = np.array(ids_a)
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(a)).reshape(-1, 2)
         if len(raw) != len(text):
             lead = (np.frombuffer(raw, np.uint8) & 0xC0) != 0x80
             spans = np.append(np.flatnonzero(lead), len(raw))[spans]
         # the blank that B adds is the first byte here, or stands before a line feed and goes
         own = text[0] == " "
-        pieces = [(x.id, x.begin, x.end) for x in self.b.encode(
-            text[own:], return_type="proto", num_threads=1).pieces][not own:]
-        b, begins, ends = np.array(pieces).reshape(-1, 3).T
-        begins, ends = begins + own, ends + own
+        pieces = self.b.encode(text[own:], return_type="proto", num_threads=1).pieces[not own:]
+        ids_b = [x.id for x in pieces]
+        b = np.array(ids_b, np.int64)
+        begins, ends = (np.array(x, np.int64) + own for x in (
+            [x.begin for x in pieces], [x.end for x in pieces]))
         if own and len(begins):
             begins[0] = 0
-        bytes_a = [self.bytes_a[i] for i in a.tolist()]
-        bytes_b = [self.bytes_b[i] for i in b.tolist()]
-        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+        if (b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw
+                or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw):
             half = len(parts) // 2
-            return self._encode(parts[:half]) + self._encode(parts[half:]) if half else [None]
-        ends_a = cuts(spans[:, 0], spans[:, 1], np.array(list(map(len, bytes_a))))
-        ends_b = cuts(begins, ends, np.array(list(map(len, bytes_b))))
-        stops = np.cumsum([len(p) if p.isascii() else len(p.encode()) for p in parts])
+            return self._encode(parts[:half]) + self._encode(parts[half:]) if half else [UNEQUAL]
+        ends_a = cuts(spans[:, 0], spans[:, 1], self.sizes_a[a])
+        ends_b = cuts(begins, ends, self.sizes_b[b])
+        stops = np.cumsum(list(map(len, parts)))
         # between two neighbouring cuts of either lie exactly one token of A and one of B
-        every = np.union1d(ends_a, ends_b)
+        at_a, at_b = np.zeros(len(raw) + 1, bool), np.zeros(len(raw) + 1, bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        every, both = np.flatnonzero(at_a | at_b), np.flatnonzero(at_a & at_b)
         pair = (a[np.searchsorted(ends_a, every)] << B_BITS) | b[np.searchsorted(ends_b, every)]
-        pairs, ends_l = pair.astype("<u4").tobytes(), np.searchsorted(every, stops, "right")
-        both = np.intersect1d(ends_a, ends_b)
+        pairs = pair.astype("<u4").tobytes()
         to_a = np.searchsorted(ends_a, both, "right").tolist()
         to_b = np.searchsorted(ends_b, both, "right").tolist()
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        text_a, text_b = ([*map(self.said.__getitem__, x)] for x in (ids_a, ids_b))
         groups = [f"{text_a[i] if k - i == 1 else ','.join(text_a[i:k])}|"
-                  f"{text_b[j] if m - j == 1 else ','.join(text_b[j:m])}"
+                  f"{text_b[j] if m - j == 1 else ','.join(text_b[j:m])};"
                   for i, k, j, m in zip([0, *to_a], to_a, [0, *to_b], to_b)]
-        n = np.stack([np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, both)])
-        sizes = np.diff(n, axis=1, prepend=0).T.tolist()
-        out, at, seen = [], 0, 0
-        for (n_a, n_b, n_g), end in zip(sizes, ends_l.tolist()):
-            out.append((";".join(groups[seen:seen + n_g]), n_a, n_b, n_g, end - at,
-                        pairs[4 * at:4 * end]))
-            at, seen = end, seen + n_g
-        return out
-
-    def _learn(self, parts: set[str]) -> None:
-        """Put short ``parts`` into the younger generation."""
-        missing = []
-        for p in parts:
-            if p in self.old:
-                self.young[p] = self.old[p]
-            elif len(p) > 1 and not p[1].isspace() and not p[-1].isspace():
-                missing.append(p)
-            else:  # white space at an edge would run into a neighbour's
-                self.young[p] = self._encode([p])[0]
-        for at in range(0, len(missing), 2048):
-            some = missing[at:at + 2048]
-            self.young.update(zip(some, self._encode(some)))
-
-    def documents(self, texts: list[str]) -> Iterator[list[tuple] | None]:
-        """Entries of the stretches of blank + text, in order; None where bytes differ."""
+        n = np.stack([np.searchsorted(x, stops, "right") for x in (ends_a, ends_b, both, every)], axis=1)
+        counts = np.diff(n, axis=0, prepend=0).astype("<i8").tobytes()
+        to_g, to_l = n[:, 2].tolist(), (4 * n[:, 3]).tolist()
+        return [("".join(groups[g:h]).encode(), counts[at:at + 32], pairs[i:k]) for at, g, h, i, k in zip(
+            range(0, 32 * len(parts), 32), [0, *to_g], to_g, [0, *to_l], to_l)]
+
+    def _entries(self, parts: list[bytes]) -> list[tuple[bytes, bytes, bytes]]:
+        """Entries of distinct ``parts``; short ones stay in the younger generation."""
         if len(self.young) > MEMO:
             self.old, self.young = self.young, {}
-        split = [_BREAK.split(" " + text) for text in texts]
-        self._learn({p for parts in split for p in parts
-                     if len(p) <= MEMO_CHARS and p not in self.young})
-        for parts in split:
-            out = [self.young[p] if len(p) <= MEMO_CHARS else self._encode([p])[0] for p in parts]
-            yield None if None in out else out
+        out = list(map(self.young.get, parts))
+        missing = []
+        for i, found in enumerate(out):
+            if found is not None:
+                continue
+            p = parts[i]
+            out[i] = found = self.old.get(p)
+            if found is not None:
+                self.young[p] = found
+                continue
+            text = p.decode()
+            if len(p) <= MEMO_BYTES and len(text) > 1 and not text[1].isspace() and not text[-1].isspace():
+                missing.append(i)
+                continue
+            # white space at an edge would run into a neighbour's
+            out[i] = self._encode([p])[0]
+            if len(p) <= MEMO_BYTES:
+                self.young[p] = out[i]
+        for at in range(0, len(missing), TOGETHER):
+            some = missing[at:at + TOGETHER]
+            for i, found in zip(some, self._encode([parts[i] for i in some])):
+                out[i] = self.young[parts[i]] = found
+        return out
+
+    def documents(self, texts: pa.Array) -> tuple[list[list[int]], list[str], list[np.ndarray]]:
+        """Of texts that are not empty: tokens of A, of B, groups and links (a row each), digest of the
+        groups, pairs; zeros and nothing where bytes differ."""
+        if len(texts) == 0:
+            return [], [], []
+        blank = pa.scalar(" ", texts.type)
+        parts, codes, edges = stretches(pc.binary_join_element_wise(blank, texts, pa.scalar("", texts.type)))
+        groups, counts, pairs = zip(*self._entries(parts))
+        counts = np.frombuffer(b"".join(counts), "<i8").reshape(-1, 4)[codes]
+        equal = np.logical_and.reduceat(counts[:, 0] > 0, edges[:-1])
+        counts = np.add.reduceat(counts, edges[:-1], axis=0) * equal[:, None]
+        said, to = joined(list(groups), codes, edges)
+        digests = [hashlib.sha256(said[i:k - 1]).hexdigest() if e else ""
+                   for e, i, k in zip(equal.tolist(), to.tolist(), to[1:].tolist())]
+        linked, to = joined(list(pairs), codes, edges)
+        linked = np.frombuffer(linked, "<u4")
+        return counts.tolist(), digests, [linked[i:k] if e else linked[:0] for e, i, k in zip(
+            equal.tolist(), (to // 4).tolist(), (to[1:] // 4).tolist())]
 
 
 @lru_cache(maxsize=1)
@@ -174,28 +199,23 @@ def _blocks(path_a: str, path_b: str):
             names=[f.split(" ")[0] for f in BLOCKS.split(", ")])
 
     def aligned(tool: Aligner, batch: pa.RecordBatch):
-        """(doc_id, text, entries), some documents at a time."""
-        for at in range(0, batch.num_rows, 64):
-            some = batch.slice(at, 64)
-            texts = [t or "" for t in some.column(1).to_pylist()]
-            found = tool.documents([t for t in texts if t])
-            for key, text in zip(some.column(0).to_pylist(), texts):
-                yield key, text, next(found) if text else None
+        """(doc_id, length of the text, counts, digest, pairs), some documents at a time."""
+        for at in range(0, batch.num_rows, TEXTS):
+            some = batch.slice(at, TEXTS)
+            texts = pc.fill_null(some.column(1), "")
+            size = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+            found = zip(*tool.documents(texts.filter(pa.array(size > 0))))
+            for key, n in zip(some.column(0).to_pylist(), size.tolist()):
+                yield key, n, *(next(found) if n else ((0, 0, 0, 0), "", np.empty(0, "<u4")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = aligner(path_a, path_b)
         seq, chars, rows, own = 0, 0, [], []
         for batch in batches:
-            for key, text, found in aligned(tool, batch):
-                if found is None:
-                    rows.append((key, 0, 0, 0, 0, ""))
-                    own.append(np.empty(0, "<u4"))
-                else:
-                    parts, *counts, pairs = zip(*found)
-                    rows.append((key, *map(sum, counts),
-                                 hashlib.sha256(";".join(parts).encode()).hexdigest()))
-                    own.append(np.frombuffer(b"".join(pairs), "<u4"))
-                    chars += len(text)
+            for key, size, counts, digest, pairs in aligned(tool, batch):
+                rows.append((key, *counts, digest))
+                own.append(pairs)
+                chars += size
                 if chars >= BLOCK_CHARS or len(rows) >= BLOCK_DOCS:
                     yield close(seq, rows, own)
                     seq, chars, rows, own = seq + 1, 0, [], []

@@ -8,10 +8,12 @@ from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from chronoweft.llm import alignment, prefix_trie, top_inner
+from chronoweft.llm.common import stretches
 
 TURNS = "conv_id bigint, turn int, role string, text string, lang string, words int, path string"
 
@@ -159,6 +161,32 @@ def test_alignment_equals_brute_force(spark, paths, monkeypatch):
     assert alignment.align(df.limit(0), *paths)[0].count() == 0
 
 
+@pytest.mark.parametrize("memo", [20, 300_000])
+def test_batches_of_texts_are_aligned_at_once(paths, monkeypatch, memo):
+    monkeypatch.setattr(alignment, "MEMO", memo)
+    monkeypatch.setattr(alignment, "TOGETHER", 64)
+    tool, calls = alignment.Aligner(*paths), []
+    encode = tool._encode
+    monkeypatch.setattr(tool, "_encode", lambda parts: calls.append(len(parts)) or encode(parts))
+    given = [t for t in texts() if t]
+    given += [" ".join(f"w{i}x{k}" for k in range(20)) for i in range(100)]
+    for at in (*range(0, len(given), 300), 600):
+        some = given[at:at + 300]
+        calls.clear()
+        counts, digests, pairs = tool.documents(pa.array(some))
+        for text, n, digest, linked in zip(some, counts, digests, pairs, strict=True):
+            a, b, groups, links = brute_pair(tool, text) or (0, 0, [], [])
+            assert n == [a, b, len(groups), len(links)]
+            assert digest == (hashlib.sha256(";".join(groups).encode()).hexdigest() if groups else "")
+            assert Counter(linked.tolist()) == Counter(x << alignment.B_BITS | y for x, y in links)
+    short = max(len(p) for p in tool.young)
+    assert short <= alignment.MEMO_BYTES and all(
+        len(p) > alignment.MEMO_BYTES for p in stretches(pa.array([" " + t for t in some]))[0]
+        if p not in tool.young)
+    assert tool.documents(pa.array([], pa.string())) == ([], [], [])
+    assert memo == 20 or len(calls) < 20  # the last batch was seen before: only long stretches are new
+
+
 def test_cuts_of_shared_characters():
     begins, ends = np.array([0, 3, 3, 3, 6]), np.array([3, 3, 3, 6, 7])
     assert alignment.cuts(begins, ends, np.array([3, 1, 1, 1, 1])).tolist() == [3, 4, 5, 6, 7]
