@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -12,9 +13,10 @@ from pyspark.sql import functions as F
 from chronoweft.llm.common import components, hot_join, query, table
 from chronoweft.session import materialise
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 4096
-DEGREE, BUILD_BEAM, BEAM, TOP = 16, 48, 32, 64
+SHARD_ROWS, BLOCK_ROWS = 16_384, 16_384
+DEGREE, BUILD_BEAM, BEAM, WIDEST, TOP = 16, 48, 32, 256, 64
 SLACK = 1e-4
+PART_ROWS, PART_NODES, CONFIRM, TASKS = 512, 4096, 65_536, 2000
 
 
 class Graph:
@@ -23,6 +25,7 @@ class Graph:
     def __init__(self, vectors: np.ndarray, sizes: list[int], links: list[np.ndarray]):
         # nodes are ordered so that layer l holds the first sizes[l] of them
         self.vectors, self.sizes, self.links = vectors, sizes, links
+        self.back: tuple[np.ndarray, np.ndarray] | None = None
 
     @classmethod
     def build(cls, vectors: np.ndarray) -> Graph:
@@ -141,6 +144,19 @@ class Graph:
             sims[live] = np.take_along_axis(all_sims, best, 1)
             done[live] = np.take_along_axis(all_done, best, 1)
 
+    def around(self, nodes: np.ndarray) -> np.ndarray:
+        """Nodes that a link of the lowest layer joins to one of ``nodes``, whichever way it points."""
+        links, n = self.links[0], len(self.vectors)
+        if self.back is None:
+            flat = links.ravel()
+            order = np.argsort(flat, kind="stable")
+            self.back = order // links.shape[1], np.searchsorted(flat[order], np.arange(n + 1))
+        source, edge = self.back
+        first, count = edge[nodes], edge[nodes + 1] - edge[nodes]
+        at = np.arange(count.sum()) + np.repeat(first - np.cumsum(count) + count, count)
+        near = np.unique(np.concatenate([links[nodes].ravel(), source[at]]))
+        return near[near >= 0]
+
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.sizes) == 1:
             sims = q @ self.vectors.T
@@ -149,38 +165,78 @@ class Graph:
         return self._beam(q, ids, 0, width)
 
 
+Pairs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 def within(graph: Graph, q: np.ndarray, least: float, audit: int = 128,
-           recall: float = 0.995) -> list[np.ndarray]:
-    """Nodes with similarity of at least ``least`` per query.
+           recall: float = 0.995) -> Iterator[Pairs]:
+    """Pairs (query, node, similarity) of at least ``least``, each once, in bounded parts.
 
-    A beam whose every entry is a hit is doubled; all beams are doubled until an audit of evenly
-    spaced queries against every node of the shard finds ``recall`` of the true hits. A beam as wide as
-    the shard that still fails is replaced by the comparison with every node.
+    Beams are doubled until an audit of evenly spaced queries against every node of the shard finds
+    ``recall`` of the true hits. Where beams of ``WIDEST`` (or as wide as the shard) still fail, every query
+    is compared with every node: wider beams cost more than that.
     """
     n = len(graph.vectors)
     check = np.unique(np.linspace(0, len(q) - 1, min(audit, len(q))).astype(np.int64))
     truth = q[check] @ graph.vectors.T >= least
-    width = BEAM
-    while True:
-        out: list[np.ndarray] = [np.empty(0, np.int64)] * len(q)
-        todo, w = np.arange(len(q)), width
-        while len(todo):
-            again = []
-            for at in range(0, len(todo), 256):
-                part = todo[at:at + 256]
-                ids, sims = graph.search(q[part], w)
-                hit = (sims >= least) & (ids >= 0)
-                full = hit.all(axis=1) & (hit.shape[1] < n)
-                for i, r in enumerate(part.tolist()):
-                    out[r] = ids[i][hit[i]]
-                again.append(part[full])
-            todo, w = np.concatenate(again), w * 2
-        got = sum(int(truth[i][out[r]].sum()) for i, r in enumerate(check.tolist()))
-        if got >= recall * truth.sum():
-            return out
-        if width >= n:
-            return [np.flatnonzero(graph.vectors @ v >= least) for v in q]
+    width, total = BEAM, truth.sum()
+    while sum(int(truth[i, node].sum()) for i, node, _ in _walk(
+            graph, q[check], least, width)) < recall * total:
+        if width >= min(n, WIDEST):
+            for at in range(0, len(q), PART_ROWS):
+                yield from _compare(graph, q, np.arange(at, min(at + PART_ROWS, len(q))),
+                                    np.arange(n), least)
+            return
         width *= 2
+    yield from _walk(graph, q, least, width)
+
+
+def _walk(graph: Graph, q: np.ndarray, least: float, width: int) -> Iterator[Pairs]:
+    """Beam search; queries whose every entry is a hit stand in a dense place and walk on together."""
+    n, dense, seeds = len(graph.vectors), [], []
+    for at in range(0, len(q), 256):
+        ids, sims = graph.search(q[at:at + 256], width)
+        hit = (sims >= least) & (ids >= 0)
+        full = hit.all(axis=1) & (hit.shape[1] < n)
+        i, j = np.nonzero(hit & ~full[:, None])
+        yield i + at, ids[i, j], sims[i, j]
+        dense.append(np.flatnonzero(full) + at)
+        seeds.append(ids[full].astype(np.int32))
+    if sum(map(len, dense)):
+        yield from _flood(graph, q, np.concatenate(dense), np.concatenate(
+            [s for s in seeds if len(s)]), least)
+
+
+def _flood(graph: Graph, q: np.ndarray, dense: np.ndarray, seeds: np.ndarray,
+           least: float) -> Iterator[Pairs]:
+    """Hits reached along links from the ``seeds`` of each query, found for near queries at once.
+
+    Links are walked both ways: in a dense place some nodes are among the nearest of no other.
+    """
+    while len(dense):
+        near = q[dense] @ q[dense[0]] >= least
+        near[0] = True
+        near &= np.cumsum(near) <= PART_ROWS
+        group, nodes = dense[near], np.unique(seeds[near])
+        dense, seeds = dense[~near], seeds[~near]
+        seen = np.zeros(len(graph.vectors), bool)
+        while len(nodes):
+            seen[nodes] = True
+            reached = []
+            for pairs in _compare(graph, q, group, nodes, least):
+                reached.append(np.unique(pairs[1]))
+                yield pairs
+            nodes = graph.around(np.concatenate(reached))
+            nodes = nodes[~seen[nodes]]
+
+
+def _compare(graph: Graph, q: np.ndarray, rows: np.ndarray, nodes: np.ndarray,
+             least: float) -> Iterator[Pairs]:
+    for at in range(0, len(nodes), PART_NODES):
+        part = nodes[at:at + PART_NODES]
+        sims = q[rows] @ graph.vectors[part].T
+        i, j = np.nonzero(sims >= least)
+        yield rows[i], part[j], sims[i, j]
 
 
 def _unit(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -201,6 +257,13 @@ def _index(rows: pd.DataFrame) -> pd.DataFrame:
                          "shard": rows["shard"].iloc[:1], "graph": [raw.getvalue()]})
 
 
+def _joined(row: np.ndarray, first: np.ndarray, me: np.ndarray) -> np.ndarray:
+    """Distinct pairs of queries that share a node: place, id, other's id."""
+    pair = np.unique(row[row != first] * len(me) + first[row != first])
+    i, j = pair // len(me), pair % len(me)
+    return np.stack([i, me[i], me[j]]).T
+
+
 def _ask(least: float):
     def run(rows: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         if len(rows) == 0 or len(index) == 0:
@@ -210,7 +273,10 @@ def _ask(least: float):
         exact, ids, n = z["exact"], z["ids"], z["n"]
         graph = Graph(exact.astype(np.float32), sizes, [z[f"l{i}"] for i in range(len(sizes))])
         q, unit = _unit(rows["embedding"])
-        links, to = np.zeros(len(q), np.int64), []
+        links, to = np.zeros(len(q), np.int64), [[] for _ in q]
+        own, mine, back = bool(rows["own"].iloc[0]), rows["n"].to_numpy(np.int64), np.zeros(len(n), np.int64)
+        me, first = rows["vec_id"].to_numpy(np.int64), np.full(len(ids), -1, np.int64)
+        slack = max(SLACK, exact.shape[1] * 2e-7)  # beyond it single precision is sure
         root: dict[int, int] = {}
 
         def find(x: int) -> int:
@@ -219,18 +285,32 @@ def _ask(least: float):
                 x = root[x]
             return x
 
-        for i, (me, hits) in enumerate(zip(rows["vec_id"].tolist(),
-                                           within(graph, unit, least - SLACK))):
-            hits = hits[(exact[hits] @ q[i] >= least) & (ids[hits] != me)]
-            links[i] = n[hits].sum()
-            edges = []
-            for other in ids[hits].tolist():  # only edges that join something in this block are sent
-                a, b = find(me), find(other)
+        for row, node, sim in within(graph, unit, least - slack):
+            good = me[row] != ids[node]
+            close = np.flatnonzero(good & (sim < least + slack))
+            for at in range(0, len(close), CONFIRM):
+                c = close[at:at + CONFIRM]
+                good[c] = np.einsum("kd,kd->k", exact[node[c]], q[row[c]]) >= least
+            row, node = row[good], node[good]
+            np.add.at(links, row, n[node])
+            if not own:  # members of that shard do not ask this one
+                np.add.at(back, node, mine[row])
+            # only edges that join something in this block are sent: a node joins the first query that
+            # finds it, and later ones join that query
+            fresh = np.flatnonzero(first[node] < 0)
+            new, at = np.unique(node[fresh], return_index=True)
+            first[new] = row[fresh[at]]
+            edges = np.concatenate([
+                np.stack([first[new], me[first[new]], ids[new]]).T,
+                _joined(row, first[node], me)])
+            for i, x, y in edges.tolist():
+                a, b = find(x), find(y)
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    edges.append(other)
-            to.append(edges)
-        return pd.DataFrame({"vec_id": rows["vec_id"], "links": links, "to": to})
+                    to[i].append(y)
+        met = np.flatnonzero(back)
+        return pd.DataFrame({"vec_id": np.concatenate([me, ids[met]]),
+                             "links": np.concatenate([links, back[met]]), "to": to + [[]] * len(met)})
     return run
 
 
@@ -239,7 +319,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Equal vectors of a label are one class. Classes of a label are dealt to shards by hash; every shard
-    has a graph, which every class of the label asks, in blocks. Vectors that are null, empty, zero or
+    has a graph, which the classes of its own and of later shards ask, in blocks; a link counts at both
+    ends. Vectors that are null, empty, zero or
     hold null or non-finite components, and rows without label or id, link with nothing; vectors of
     different length are never compared; a vec_id that repeats counts once per row.
     """
@@ -255,21 +336,29 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
     classes = materialise(rows.filter("key is not null").groupBy("key").agg(
         F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"),
         F.first("embedding").alias("embedding")).withColumn("dim", F.size("embedding")), "classes")
-    per = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"),
-                                              F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
-    dealt = classes.join(per, ["label", "dim"]).withColumn("deal", F.xxhash64("key"))
-    members = dealt.withColumn("shard", F.pmod("deal", "shards"))
-    index = materialise(members.groupBy("label", "dim", "shard").applyInPandas(
+    per = classes.groupBy("label", "dim").agg(F.ceil(F.count(F.lit(1)) / shard_rows).alias("shards"))
+    parts = -(-shard_rows // block_rows)  # blocks of a shard
+    graphs, pairs = per.agg(F.sum("shards"), F.sum(
+        F.col("shards") * (F.col("shards") + 1) / 2 * parts)).first()
+    # more partitions than groups, so that few groups fall together
+    spread = [min(16 * int(n or 1), TASKS) for n in (graphs, pairs)]
+    dealt = classes.join(per, ["label", "dim"]).withColumn("deal", F.xxhash64("key")).withColumn(
+        "shard", F.pmod("deal", "shards"))
+    index = materialise(dealt.repartition(spread[0], "label", "dim", "shard").groupBy(
+        "label", "dim", "shard").applyInPandas(
         _index, f"label {dict(rows.dtypes)['label']}, dim int, shard bigint, graph binary"), "graphs")
-    blocks = F.pmod(F.shiftrightunsigned("deal", 20), F.col("blocks"))
-    ask = dealt.withColumn("block", blocks).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("shards") - 1)))
-    asked = index.join(per, ["label", "dim"]).withColumn(
-        "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    first, last = F.col("shard") * parts, F.col("shards") * parts - 1
+    part = F.pmod(F.shiftrightunsigned("deal", 20), F.lit(parts))
+    ask = dealt.withColumn("block", first + part).withColumn("home", F.col("shard")).withColumn(
+        "shard", F.explode(F.sequence(F.lit(0).cast("bigint"), "home"))).withColumn(
+        "own", F.col("shard") == F.col("home"))
+    asked = index.join(per, ["label", "dim"]).withColumn("block", F.explode(F.sequence(first, last)))
     keys = ["label", "dim", "shard", "block"]
-    found = materialise(ask.select(*keys, "vec_id", "embedding").groupBy(*keys).cogroup(
-        asked.select(*keys, "graph").groupBy(*keys)).applyInPandas(
-        _ask(least), "vec_id bigint, links bigint, to array<bigint>"), "found")
+    found = materialise(
+        ask.select(*keys, "vec_id", "n", "own", "embedding").repartition(spread[1], *keys).groupBy(
+            *keys).cogroup(asked.select(*keys, "graph").repartition(spread[1], *keys).groupBy(
+                *keys)).applyInPandas(
+            _ask(least), "vec_id bigint, links bigint, to array<bigint>"), "found")
     comp = components(found.select(F.col("vec_id").alias("a"), F.explode("to").alias("b")))
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     named = classes.select("key", "vec_id", "n").join(links, "vec_id", "left").join(

@@ -274,6 +274,36 @@ def test_vectors(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in (700, 701, 702, 704))
 
 
+def test_vectors_of_a_dense_place_are_walked_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(3000, 24))
+    v[:900] = v[0] + rng.normal(size=(900, 24)) * 0.02
+    v[900:1300] = v[900] + rng.normal(size=(400, 24)) * 0.25
+    u = (v / np.linalg.norm(v, axis=1)[:, None]).astype(np.float32)[rng.permutation(3000)]
+    graph, widths = embeddings.Graph.build(u), []
+    search = embeddings.Graph.search
+    monkeypatch.setattr(embeddings.Graph, "search", lambda self, q, width: (
+        widths.append(width), search(self, q, width))[1])
+    found = [(i, j) for row, node, _ in embeddings.within(graph, u, 0.93)
+             for i, j in zip(row.tolist(), node.tolist())]
+    true = u @ u.T >= 0.93
+    assert max(widths) == embeddings.BEAM  # no beam as wide as the place
+    assert len(set(found)) == len(found) >= 0.995 * true.sum() and all(true[p] for p in found)
+
+
+def test_vector_links_between_shards_count_at_both_ends(spark):
+    rng = np.random.default_rng(6)
+    v = np.repeat(rng.normal(size=(40, 16)), 12, axis=0) + rng.normal(size=(480, 16)) * 0.01
+    rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(480 + i, v[i].tolist(), 1) for i in range(5)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    got = {r.vec_id: r for r in embeddings.near_vectors(table, shard_rows=100, block_rows=30).collect()}
+    w = np.concatenate([v, v[:5]])
+    u = w / np.linalg.norm(w, axis=1)[:, None]
+    links = (u @ u.T >= 0.93).sum(axis=1) - 1
+    assert [got[i].n_links for i in range(485)] == links.tolist()
+    assert all(got[i].component_id == i // 12 * 12 for i in range(480))
+
+
 def test_forward_is_exact():
     rng = np.random.default_rng(4)
     start, move, emit = (rng.dirichlet(np.ones(n), size=m) for n, m in ((3, 1), (3, 3), (6, 3)))
