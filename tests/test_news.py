@@ -397,6 +397,24 @@ def test_stream_equals_batch_and_refuses_regress(spark, tmp_path):
     assert issubclass(ContractViolation, ValueError)
 
 
+def test_deliveries_of_the_streamed_queries_are_few_files(spark, tmp_path):
+    from chronoweft.plans import streams
+
+    rows = [(i, f"storm and flood {i % 37}", "en", f"src{i % 3}") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        f"{tmp_path}/documents.parquet")
+    folder, store = streams.streamed_store(spark, str(tmp_path))
+    assert store.read("ledger").count() == 60
+    arrived = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    assert arrived.count() < 30  # one for each of the 60 minutes would stay with the driver
+    assert store.commits().agg(F.sum("files")).first()[0] == 60
+    again = rebuild_differences(spark, folder, store, streams.published, packed=True, **streams.OPTIONS)
+    assert again.count() == 0 and store.read("articles").count() == 1200
+    sp.write_snapshot_table(streams.snapshot_rows(spark, str(tmp_path)).filter("f = 59"), f"{folder}/late")
+    paths = sp.read_snapshot_tables(spark, folder).filter("line_number = -1").select("path")
+    assert paths.count() == paths.distinct().count() == 61
+
+
 def test_a_batch_is_visible_only_with_its_marker(spark, tmp_path, monkeypatch):
     folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
     folder.mkdir()
