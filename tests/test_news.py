@@ -415,6 +415,20 @@ def test_deliveries_of_the_streamed_queries_are_few_files(spark, tmp_path):
     assert paths.count() == paths.distinct().count() == 61
 
 
+def test_rebuild_names_the_rows_that_differ(spark, tmp_path):
+    folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
+    folder.mkdir()
+    write(folder, "20260101010000", [snapshot_line(0)])
+    run_available(spark, f"file:{folder}", f"file:{tmp_path}/ck", SnapshotNormaliser(store, published))
+    rows = store.read("articles").collect()
+    changed = [{**r.asDict(), "exclusion_reason": "x" if i == 0 else None} for i, r in enumerate(rows)]
+    store.write("articles", 0, spark.createDataFrame(changed, store.read("articles").schema))
+    found = rebuild_differences(spark, f"file:{folder}", store, published)
+    assert set(found.columns) == {"article_id", "article_version_id", "row_sha256", "side"}  # no texts
+    assert sorted((r.article_id, r.side) for r in found.collect()) == [
+        (rows[0].article_id, "left"), (rows[0].article_id, "right")]
+
+
 def test_a_batch_is_visible_only_with_its_marker(spark, tmp_path, monkeypatch):
     folder, store = tmp_path / "in", NewsStore(spark, f"file:{tmp_path}/store").create()
     folder.mkdir()
